@@ -30,11 +30,13 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return "NULL"
     if isinstance(v, float):
         if math.isnan(v):
-            return "NaN"
+            return "NULL"
+        if v.is_integer() and abs(v) < 2**53:
+            return str(int(v))
         return repr(round(v, 6) + 0.0)
     if hasattr(v, "tolist"):
         v = v.tolist()

@@ -89,3 +89,46 @@ def dbscan_sql(points_sql: str, eps: float, min_pts: int, cols=("x0", "x1")) ->
         + "\n"
         + assignment_select("", "pts", cols)
     )
+
+
+# --------------------------------------------------------------------------- text
+
+TOKEN_PATTERN = "[a-zà-ÿß]+"
+
+
+def text_ctes(min_df: int = 2, max_df: int = 200) -> str:
+    """CTEs ``tok, tf, dfa, vocab, ndoc, raw, wt(id, term, weight)`` over ``documents``."""
+    return f"""tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN_PATTERN}')) AS term
+        FROM documents),
+tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY id, term),
+dfa AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+vocab AS (SELECT term, df FROM dfa WHERE df >= {min_df} AND df <= {max_df}),
+ndoc AS (SELECT count(*) AS n FROM documents),
+raw AS (SELECT tf.id, tf.term, tf.tf::DOUBLE * ln((ndoc.n + 1)::DOUBLE / (vocab.df + 1)::DOUBLE) AS w
+        FROM tf JOIN vocab ON tf.term = vocab.term CROSS JOIN ndoc),
+wt AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw)"""
+
+
+def sims_cte(name: str, min_sim: float) -> str:
+    return f"""{name} AS (SELECT a.id AS src, b.id AS dst, sum(a.weight * b.weight) AS sim
+  FROM wt a JOIN wt b ON a.term = b.term AND a.id <> b.id GROUP BY a.id, b.id
+  HAVING sum(a.weight * b.weight) >= {lit(min_sim)})"""
+
+
+def text_cluster_ctes(min_sim: float, min_pts: int, min_df: int = 2, max_df: int = 200) -> str:
+    """Text CTEs plus ``sims, docs, tcnt, tcore, tcedge, tcc, tborder, tassign``."""
+    return f"""{text_ctes(min_df, max_df)},
+{sims_cte('sims', min_sim)},
+docs AS (SELECT doc_id AS id, doc_id IN (SELECT id FROM wt) AS valid FROM documents),
+tcnt AS (SELECT d.id, 1 + count(s.dst) AS n FROM docs d LEFT JOIN sims s ON s.src = d.id WHERE d.valid GROUP BY d.id),
+tcore AS (SELECT id FROM tcnt WHERE n >= {int(min_pts)}),
+tcedge AS (SELECT s.src AS a, s.dst AS b FROM sims s JOIN tcore c1 ON s.src = c1.id JOIN tcore c2 ON s.dst = c2.id),
+{cc_sql('tcc', 'tcore', 'tcedge')},
+tborder AS (SELECT id, comp FROM (
+  SELECT s.src AS id, c.comp, row_number() OVER (PARTITION BY s.src ORDER BY s.sim DESC, s.dst) AS rn
+  FROM sims s JOIN tcc c ON s.dst = c.id WHERE s.src NOT IN (SELECT id FROM tcore)) t WHERE rn = 1),
+tassign AS (SELECT d.id,
+  CASE WHEN NOT d.valid THEN 'invalid' WHEN c.id IS NOT NULL THEN 'core'
+       WHEN b.id IS NOT NULL THEN 'border' ELSE 'noise' END AS role,
+  CAST(CASE WHEN NOT d.valid THEN NULL ELSE coalesce(c.comp, b.comp, -1) END AS BIGINT) AS cluster_id
+  FROM docs d LEFT JOIN tcc c ON d.id = c.id LEFT JOIN tborder b ON d.id = b.id)"""

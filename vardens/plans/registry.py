@@ -45,3 +45,109 @@ def q_dbscan(spark, sf_dir):
     from ..sources.tables import event_points
 
     return dbscan(event_points(spark, sf_dir), DBSCAN_EPS, DBSCAN_MIN_PTS)
+
+
+# --------------------------------------------------------------------------- text (F, C4)
+
+MIN_DF, MAX_DF = 2, 200
+TEXT_SIM, TEXT_MIN_PTS = 0.3, 3
+COPY_SIM = 0.8
+TOP_TERMS = 5
+
+
+def _docs(spark, sf_dir):
+    from ..sources.tables import documents
+
+    return documents(spark, sf_dir)
+
+
+def _weights(spark, sf_dir):
+    from ..operators.text import text_weights
+
+    return text_weights(_docs(spark, sf_dir), MIN_DF, MAX_DF)
+
+
+@register("tokenise_documents", f"WITH {O.text_ctes()} SELECT id, term FROM tok")
+def q_tokenise(spark, sf_dir):
+    from ..operators.text import tokenise
+
+    return tokenise(_docs(spark, sf_dir))
+
+
+@register("term_frequency_documents", f"WITH {O.text_ctes()} SELECT id, term, tf FROM tf")
+def q_tf(spark, sf_dir):
+    from ..operators.text import term_frequency, tokenise
+
+    return term_frequency(tokenise(_docs(spark, sf_dir)))
+
+
+@register("document_frequency_documents", f"WITH {O.text_ctes(MIN_DF, MAX_DF)} SELECT term, df FROM vocab")
+def q_df(spark, sf_dir):
+    from ..operators.text import document_frequency, term_frequency, tokenise
+
+    return document_frequency(term_frequency(tokenise(_docs(spark, sf_dir))), MIN_DF, MAX_DF)
+
+
+@register("tfidf_documents", f"WITH {O.text_ctes(MIN_DF, MAX_DF)} SELECT id, term, round(weight, 6) AS weight FROM wt")
+def q_tfidf(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return _weights(spark, sf_dir).select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+@register(
+    "cosine_join_documents",
+    f"WITH {O.text_ctes(MIN_DF, MAX_DF)}, {O.sims_cte('sims', TEXT_SIM)} SELECT src, dst, round(sim, 6) AS sim FROM sims",
+)
+def q_cosine(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..operators.text import cosine_join
+
+    return cosine_join(_weights(spark, sf_dir), TEXT_SIM).select("src", "dst", F.round("sim", 6).alias("sim"))
+
+
+@register(
+    "text_cluster_documents",
+    f"WITH RECURSIVE {O.text_cluster_ctes(TEXT_SIM, TEXT_MIN_PTS, MIN_DF, MAX_DF)} SELECT * FROM tassign",
+)
+def q_text_cluster(spark, sf_dir):
+    from ..operators.text import text_cluster
+
+    return text_cluster(_docs(spark, sf_dir), TEXT_SIM, TEXT_MIN_PTS, MIN_DF, MAX_DF)
+
+
+@register(
+    "cluster_terms_documents",
+    f"""WITH RECURSIVE {O.text_cluster_ctes(TEXT_SIM, TEXT_MIN_PTS, MIN_DF, MAX_DF)},
+members AS (SELECT id, cluster_id FROM tassign WHERE cluster_id >= 0),
+csize AS (SELECT cluster_id, count(*) AS size FROM members GROUP BY cluster_id),
+tot AS (SELECT m.cluster_id, w.term, sum(w.weight) AS total FROM wt w JOIN members m ON w.id = m.id GROUP BY 1, 2),
+scored AS (SELECT t.cluster_id, t.term, t.total / s.size AS score FROM tot t JOIN csize s ON t.cluster_id = s.cluster_id),
+ranked AS (SELECT cluster_id, term, score,
+  row_number() OVER (PARTITION BY cluster_id ORDER BY round(score, 9) DESC, term) AS rank FROM scored)
+SELECT cluster_id, rank, term, round(score, 6) AS score FROM ranked WHERE rank <= {TOP_TERMS}""",
+)
+def q_cluster_terms(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..operators.text import cluster_terms, text_cluster
+
+    docs = _docs(spark, sf_dir)
+    w = _weights(spark, sf_dir)
+    a = text_cluster(docs, TEXT_SIM, TEXT_MIN_PTS, weights=w)
+    t = cluster_terms(a, w, TOP_TERMS)
+    return t.select("cluster_id", "rank", "term", F.round("score", 6).alias("score"))
+
+
+@register(
+    "near_copies_documents",
+    f"""WITH RECURSIVE {O.text_ctes(MIN_DF, MAX_DF)}, {O.sims_cte('sims', COPY_SIM)},
+alld AS (SELECT doc_id AS id FROM documents),
+{O.cc_sql('ncc', 'alld', '(SELECT src AS a, dst AS b FROM sims)')}
+SELECT id, comp AS group_id FROM ncc""",
+)
+def q_near_copies(spark, sf_dir):
+    from ..operators.text import near_copies
+
+    return near_copies(_docs(spark, sf_dir), COPY_SIM, MIN_DF, MAX_DF)
