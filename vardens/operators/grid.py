@@ -83,16 +83,17 @@ class Grid:
     def neighbour_offsets(self, forward_only: bool = False):
         return offsets(self.d, self.k, forward_only)
 
-    def probe(self, df: DataFrame, prefix: str = "p") -> DataFrame:
+    def probe(self, df: DataFrame, prefix: str = "p", offs=None, salted: bool = True) -> DataFrame:
         """Rows of ``df`` (``id, x.., c..``) renamed with ``prefix`` and exploded to the
-        neighbour cells ``t..`` and their salts."""
+        neighbour cells ``t..`` (and, when ``salted``, to the salts of those cells)."""
         ren = df.select(
             F.col("id").alias(f"{prefix}id"),
             *[F.col(x).alias(f"{prefix}{x}") for x in self.cols],
             *[F.col(c).alias(f"{prefix}{c}") for c in self.cells],
         )
-        ex = with_neighbour_cells(ren, [f"{prefix}{c}" for c in self.cells], self.tcells, self.neighbour_offsets())
-        return self.hot.expand(ex, key_cols=self.tcells)
+        offs = offs if offs is not None else self.neighbour_offsets()
+        ex = with_neighbour_cells(ren, [f"{prefix}{c}" for c in self.cells], self.tcells, offs)
+        return self.hot.expand(ex, key_cols=self.tcells) if salted else ex
 
     def targets(self, df: DataFrame, prefix: str = "q", extra: tuple[str, ...] = ()) -> DataFrame:
         """Rows of ``df`` (``id, x.., c.., salt``) keyed by ``t.., salt`` for a probe join."""

@@ -132,3 +132,73 @@ tassign AS (SELECT d.id,
        WHEN b.id IS NOT NULL THEN 'border' ELSE 'noise' END AS role,
   CAST(CASE WHEN NOT d.valid THEN NULL ELSE coalesce(c.comp, b.comp, -1) END AS BIGINT) AS cluster_id
   FROM docs d LEFT JOIN tcc c ON d.id = c.id LEFT JOIN tborder b ON d.id = b.id)"""
+
+
+# --------------------------------------------------------------------------- more points
+
+EVENT_VALID = finite_sql(("x0", "x1"))
+EMB_SQL = "SELECT vec_id AS id, embedding FROM embeddings"
+
+
+def emb_d2(a: str = "a", b: str = "b") -> str:
+    return (
+        f"list_reduce(list_transform(list_zip({a}.embedding, {b}.embedding), "
+        "lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)), lambda s, t: s + t)"
+    )
+
+
+def knn_ctes(k: int, box: float) -> str:
+    """``kv, kbox, kfew, kall, knn(id, rank, nbr, d2)``: exact k nearest neighbours of the
+    event points; points with fewer than k neighbours inside the box fall back to all
+    points."""
+    return f"""kv AS (SELECT * FROM ({EVENT_POINTS_SQL}) p WHERE {EVENT_VALID}),
+kbox AS (SELECT a.id AS src, b.id AS dst, {d2_sql(('x0', 'x1'))} AS d2 FROM kv a JOIN kv b
+  ON a.x0 BETWEEN b.x0 - {lit(box)} AND b.x0 + {lit(box)} AND a.x1 BETWEEN b.x1 - {lit(box)} AND b.x1 + {lit(box)}
+  WHERE a.id <> b.id AND {d2_sql(('x0', 'x1'))} <= {lit(box)} * {lit(box)}),
+kfew AS (SELECT id FROM kv WHERE id NOT IN (SELECT src FROM kbox GROUP BY src HAVING count(*) >= {k})),
+kall AS (SELECT * FROM kbox WHERE src NOT IN (SELECT id FROM kfew)
+  UNION ALL SELECT a.id, b.id, {d2_sql(('x0', 'x1'))} FROM kfew f JOIN kv a ON a.id = f.id JOIN kv b ON a.id <> b.id),
+knn AS (SELECT src AS id, rank, dst AS nbr, d2 FROM (
+  SELECT src, dst, d2, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM kall) t WHERE rank <= {k})"""
+
+
+def levels_ctes(k: int, box: float, quantiles) -> str:
+    qs = ", ".join(repr(float(q)) for q in quantiles)
+    return f"""{knn_ctes(k, box)},
+kd AS (SELECT id, sqrt(d2) AS k_dist FROM knn WHERE rank = {k}),
+lq AS (SELECT DISTINCT round(unnest(quantile_cont(k_dist, [{qs}])), 6) AS eps FROM kd),
+lv AS (SELECT row_number() OVER (ORDER BY eps) AS level, eps FROM lq WHERE eps > 0)"""
+
+
+def counts_cte(name: str, valid: str, radii) -> str:
+    """``name(id, n0, n1, ...)``: neighbours within each radius, self included."""
+    big = max(radii)
+    sums = ", ".join(
+        f"count(*) FILTER (WHERE {d2_sql(('x0', 'x1'))} <= {lit(r)} * {lit(r)}) AS n{i}" for i, r in enumerate(radii)
+    )
+    box = " AND ".join(
+        f"a.{c} BETWEEN b.{c} - {lit(big * 1.000001)} AND b.{c} + {lit(big * 1.000001)}" for c in ("x0", "x1")
+    )
+    return f"{name} AS (SELECT a.id, {sums} FROM {valid} a JOIN {valid} b ON {box} GROUP BY a.id)"
+
+
+def dbscan_level_ctes(p: str, points: str, eps_expr: str, min_pts: int) -> str:
+    """Like ``dbscan_ctes`` with eps given as a SQL expression (a scalar subquery)."""
+    cols = ("x0", "x1")
+    box = " AND ".join(
+        f"a.{c} BETWEEN b.{c} - ({eps_expr}) * 1.000001 AND b.{c} + ({eps_expr}) * 1.000001" for c in cols
+    )
+    return f"""{p}valid AS (SELECT * FROM {points} WHERE {finite_sql(cols)}),
+{p}pairs AS (SELECT a.id AS src, b.id AS dst, {d2_sql(cols)} AS d2 FROM {p}valid a JOIN {p}valid b ON {box}
+  WHERE {d2_sql(cols)} <= ({eps_expr}) * ({eps_expr})),
+{p}cnt AS (SELECT src AS id, count(*) AS n FROM {p}pairs GROUP BY src),
+{p}core AS (SELECT id FROM {p}cnt WHERE n >= {int(min_pts)}),
+{p}cedge AS (SELECT q.src AS a, q.dst AS b FROM {p}pairs q JOIN {p}core c1 ON q.src = c1.id
+             JOIN {p}core c2 ON q.dst = c2.id WHERE q.src <> q.dst),
+{cc_sql(p + 'cc', p + 'core', p + 'cedge')},
+{p}border AS (SELECT id, comp FROM (
+  SELECT q.src AS id, c.comp, row_number() OVER (PARTITION BY q.src ORDER BY q.d2, q.dst) AS rn
+  FROM {p}pairs q JOIN {p}cc c ON q.dst = c.id
+  WHERE q.src NOT IN (SELECT id FROM {p}core)) t WHERE rn = 1),
+{p}got AS (SELECT id, 'core' AS role, comp AS cluster_id FROM {p}cc
+           UNION ALL SELECT id, 'border', comp FROM {p}border)"""
