@@ -474,11 +474,14 @@ def q_multi_level(spark, sf_dir):
     return out.select("id", "role", "cluster_id", F.col("level").cast("long").alias("level"))
 
 
+SPLIT_DAY = 15.0
+
+
 def _assign_new_sql() -> str:
-    even = f"SELECT * FROM ({O.EVENT_POINTS_SQL}) p WHERE id % 2 = 0"
-    odd = f"SELECT * FROM ({O.EVENT_POINTS_SQL}) p WHERE id % 2 = 1"
+    model = f"SELECT * FROM ({O.EVENT_POINTS_SQL}) p WHERE x0 < {O.lit(SPLIT_DAY)}"
+    fresh = f"SELECT * FROM ({O.EVENT_POINTS_SQL}) p WHERE NOT coalesce(x0 < {O.lit(SPLIT_DAY)}, false)"
     return (
-        f"WITH RECURSIVE pts AS ({even}), newp AS ({odd}),\n"
+        f"WITH RECURSIVE pts AS ({model}), newp AS ({fresh}),\n"
         + O.dbscan_ctes("", "pts", DBSCAN_EPS, DBSCAN_MIN_PTS)
         + f""",
 mc AS (SELECT c.id, c.comp, v.x0, v.x1 FROM cc c JOIN valid v ON c.id = v.id),
@@ -492,17 +495,22 @@ FROM newp n LEFT JOIN best b ON n.id = b.id"""
     )
 
 
-@register("assign_new_events", _assign_new_sql(), "model: even event ids; new points: odd event ids")
+@register(
+    "assign_new_events",
+    _assign_new_sql(),
+    "model: DBSCAN of the events before day 15; new points: all other events (every row is on one side)",
+)
 def q_assign_new(spark, sf_dir):
     from pyspark.sql import functions as F
 
     from ..operators.cluster import assign_new, dbscan, model_cores
 
     pts = _events(spark, sf_dir)
-    even = pts.filter(F.col("id") % 2 == 0)
-    odd = pts.filter(F.col("id") % 2 == 1)
-    model = model_cores(dbscan(even, DBSCAN_EPS, DBSCAN_MIN_PTS), even)
-    return assign_new(model, odd, DBSCAN_EPS)
+    early = F.col("x0") < F.lit(SPLIT_DAY)
+    hist = pts.filter(early)
+    fresh = pts.filter(~F.coalesce(early, F.lit(False)))
+    model = model_cores(dbscan(hist, DBSCAN_EPS, DBSCAN_MIN_PTS), hist)
+    return assign_new(model, fresh, DBSCAN_EPS)
 
 
 # --------------------------------------------------------------------------- evaluation (G)
