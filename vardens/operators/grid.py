@@ -21,7 +21,7 @@ over several tasks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,8 +69,10 @@ class Grid:
     radius: float
     r2: float
     k: int
-    hot: HotKeys
+    hot: HotKeys  # hot cells of the target rows (``pts``)
     pts: DataFrame  # valid points: id, x.., c.., salt, n (points in the cell)
+    phot: HotKeys | None = None  # hot cells of the probing rows, when they differ
+    _nb: DataFrame | None = field(default=None, repr=False)
 
     @property
     def d(self) -> int:
@@ -80,30 +82,60 @@ class Grid:
     def tcells(self) -> list[str]:
         return [f"t{i}" for i in range(self.d)]
 
+    @property
+    def keys(self) -> list[str]:
+        """Join keys of a probe join: target cell, target salt, probe salt."""
+        return self.tcells + ["salt", "psalt"]
+
+    @property
+    def probe_hot(self) -> HotKeys:
+        return self.phot or self.hot
+
     def neighbour_offsets(self, forward_only: bool = False):
         return offsets(self.d, self.k, forward_only)
 
+    def _probe_salts(self) -> DataFrame:
+        """``t.., pmax``: the largest probe-side salt count among the cells around t
+        (at most (2k+1)^d rows per hot cell; broadcast after a size check)."""
+        if self._nb is None:
+            ph = self.probe_hot
+            ex = with_neighbour_cells(ph.table, self.cells, self.tcells, self.neighbour_offsets())
+            nb = ex.groupBy(*self.tcells).agg(F.max("nsalt").alias("pmax"))
+            size = (2 * self.k + 1) ** self.d * ph.n_hot
+            self._nb = F.broadcast(nb) if size <= ph.max_broadcast_rows else nb
+        return self._nb
+
     def probe(self, df: DataFrame, prefix: str = "p", offs=None, salted: bool = True) -> DataFrame:
-        """Rows of ``df`` (``id, x.., c..``) renamed with ``prefix`` and exploded to the
-        neighbour cells ``t..`` (and, when ``salted``, to the salts of those cells)."""
+        """Rows of ``df`` (``id, x.., c..[, salt]``) renamed with ``prefix``, keeping their
+        own salt as ``psalt``, exploded to the neighbour cells ``t..`` and (when
+        ``salted``) to the salts of those cells."""
+        if "salt" not in df.columns or self.phot is not None:
+            df = self.probe_hot.salt_rows(df.drop("salt") if "salt" in df.columns else df, "id")
         ren = df.select(
             F.col("id").alias(f"{prefix}id"),
             *[F.col(x).alias(f"{prefix}{x}") for x in self.cols],
             *[F.col(c).alias(f"{prefix}{c}") for c in self.cells],
+            F.col("salt").alias("psalt"),
         )
         offs = offs if offs is not None else self.neighbour_offsets()
         ex = with_neighbour_cells(ren, [f"{prefix}{c}" for c in self.cells], self.tcells, offs)
         return self.hot.expand(ex, key_cols=self.tcells) if salted else ex
 
     def targets(self, df: DataFrame, prefix: str = "q", extra: tuple[str, ...] = ()) -> DataFrame:
-        """Rows of ``df`` (``id, x.., c.., salt``) keyed by ``t.., salt`` for a probe join."""
-        return df.select(
+        """Rows of ``df`` (``id, x.., c.., salt``) keyed by ``t.., salt, psalt``: each row
+        is repeated once per probe-side salt of the hot cells around it."""
+        out = df.select(
             F.col("id").alias(f"{prefix}id"),
             *[F.col(x).alias(f"{prefix}{x}") for x in self.cols],
             *[F.col(c).alias(t) for c, t in zip(self.cells, self.tcells)],
             "salt",
             *extra,
         )
+        if self.probe_hot.n_hot == 0:
+            return out.withColumn("psalt", F.lit(0))
+        out = out.join(self._probe_salts(), on=self.tcells, how="left")
+        n = F.coalesce(F.col("pmax"), F.lit(1))
+        return out.withColumn("psalt", F.explode(F.sequence(F.lit(0), n - F.lit(1)))).drop("pmax")
 
     def pair_d2(self, p: str = "p", q: str = "q"):
         return sqdist([f"{p}{x}" for x in self.cols], [f"{q}{x}" for x in self.cols])
@@ -143,7 +175,7 @@ def contracted_roles(g: Grid, min_pts: int) -> DataFrame:
     )
     sparse = p.filter(F.col("n") < min_pts)
     probes = g.probe(sparse)
-    pairs = probes.join(g.targets(p), on=g.tcells + ["salt"]).filter(g.pair_d2() <= F.lit(g.r2))
+    pairs = probes.join(g.targets(p), on=g.keys).filter(g.pair_d2() <= F.lit(g.r2))
     counted = pairs.groupBy("pid", *[f"p{x}" for x in g.cols], *[f"p{c}" for c in g.cells]).agg(
         F.count(F.lit(1)).alias("n_eps")
     )
@@ -252,7 +284,7 @@ def cluster_roles(g: Grid, roles: DataFrame) -> DataFrame:
     noncore = roles.filter(~F.col("core"))
     probes = g.probe(noncore)
     tg = g.targets(cores_l, extra=("cluster_id",))
-    cond = [probes[t] == tg[t] for t in g.tcells] + [probes["salt"] == tg["salt"], g.pair_d2() <= F.lit(g.r2)]
+    cond = [probes[c] == tg[c] for c in g.keys] + [g.pair_d2() <= F.lit(g.r2)]
     within = probes.join(tg, on=cond, how="left")
     best = within.groupBy("pid").agg(
         F.min(F.when(F.col("qid").isNotNull(), F.struct(g.pair_d2().alias("d2"), "qid", "cluster_id"))).alias("b")

@@ -48,7 +48,7 @@ def eps_join_grid(
     for c, t in zip(g.cells, g.tcells):
         same = same & (F.col(f"p{c}") == F.col(t))
     pairs = (
-        probes.join(g.targets(g.pts), on=g.tcells + ["salt"])
+        probes.join(g.targets(g.pts), on=g.keys)
         .filter(~same | (F.col("pid") < F.col("qid")))
         .select(F.col("pid").alias("src"), F.col("qid").alias("dst"), g.pair_d2().alias("d2"))
         .filter(F.col("d2") <= F.lit(g.r2))
@@ -57,88 +57,108 @@ def eps_join_grid(
     return both.withColumn("dist", F.sqrt("d2"))
 
 
+# Target cells with at most this many points are compared point by point; larger ones
+# are first summarised per sub-cell.
+SMALL_CELL_ROWS = 32
+
+
 def neighbour_counts(
     points: DataFrame,
     radii: list[float],
     hot_rows: int = DEFAULT_HOT_ROWS,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     subdivisions: int | None = None,
+    small_cell_rows: int = SMALL_CELL_ROWS,
 ) -> DataFrame:
     """Exact neighbourhood sizes ``id, n0, n1, ...`` (self included) of every valid point
     for each radius in ``radii``, from one grid at the largest radius.
 
-    The points are summarised per sub-cell (count + bounding box).  A probe point adds a
-    sub-cell's whole count when the box's farthest corner is within the radius, skips it
-    when the nearest corner is beyond, and compares point by point only with the
-    sub-cells that straddle the radius.  Duplicated or tightly packed points therefore
-    never produce pairs.
+    Each point probes the cells around it.  A cell holding at most ``small_cell_rows``
+    points is compared point by point.  A larger cell is summarised per sub-cell (count +
+    bounding box): the probe adds a sub-cell's whole count when the box's farthest corner
+    is within the radius, skips it when the nearest corner is beyond, and compares point
+    by point only inside sub-cells that straddle the radius.  So work per point is
+    bounded by the grid, not by how many points pile up in a cell, and duplicates never
+    produce pairs.  Probe and target sides are both salted by hot cell.
     """
     radii = [check_eps(r, "radius") for r in radii]
     big = max(radii)
     g = build_grid(points, big, hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows)
     m = subdivisions or (4 if g.d <= 2 else 2)
     subs = [f"s{i}" for i in range(g.d)]
+    bsubs = [f"b{x}" for x in subs]
     sub_exprs = [
         F.least(F.greatest(F.floor((F.col(x) / F.lit(g.side) - F.col(c)) * F.lit(m)), F.lit(0)), F.lit(m - 1))
         .cast("int")
         .alias(s)
         for x, c, s in zip(g.cols, g.cells, subs)
     ]
-    pts = g.pts.select("id", *g.cols, *g.cells, "salt", *sub_exprs)
+    pts = g.pts.select("id", *g.cols, *g.cells, "salt", "n", *sub_exprs)
+    small = pts.filter(F.col("n") <= F.lit(small_cell_rows))
+    large = pts.filter(F.col("n") > F.lit(small_cell_rows))
+    probes = g.probe(pts)
+    nr = len(radii)
+
+    def within(d2, i):
+        return F.when(d2 <= F.lit(radii[i] * radii[i]), F.lit(1)).otherwise(F.lit(0))
+
+    # (1) point by point against small cells
+    pa = probes.join(g.targets(small), on=g.keys).select("pid", g.pair_d2().alias("d2"))
+    part_a = pa.select("pid", *[within(F.col("d2"), i).alias(f"n{i}") for i in range(nr)])
+
+    # (2) whole sub-cells of large cells
     lo = [f"lo{i}" for i in range(g.d)]
     hi = [f"hi{i}" for i in range(g.d)]
-    summ = pts.groupBy(*g.cells, *subs).agg(
+    summ = large.groupBy(*g.cells, *subs).agg(
         F.count(F.lit(1)).alias("k"),
         *[F.min(x).alias(l) for x, l in zip(g.cols, lo)],
         *[F.max(x).alias(h) for x, h in zip(g.cols, hi)],
     )
-    probes = g.probe(pts, salted=False)
     sm = summ.select(
-        *[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)], *[F.col(s).alias(f"b{s}") for s in subs], "k", *lo, *hi
+        F.col("c0").alias("id"),  # placeholder id for targets(); dropped below
+        *[F.lit(0.0).alias(x) for x in g.cols],
+        *g.cells,
+        F.lit(0).alias("salt"),
+        *[F.col(s).alias(b) for s, b in zip(subs, bsubs)],
+        "k",
+        *lo,
+        *hi,
     )
-    pb = probes.join(sm, on=g.tcells)
+    sm = g.targets(sm, extra=(*bsubs, "k", *lo, *hi)).drop("qid", *[f"q{x}" for x in g.cols], "salt")
+    pb = probes.filter(F.col("salt") == 0).drop("salt").join(sm, on=g.tcells + ["psalt"])
     plo = [f"p{x}" for x in g.cols]
     near = box_min_sqdist(plo, plo, lo, hi)
     far = box_max_sqdist(plo, plo, lo, hi)
     flags = []
     for i, r in enumerate(radii):
-        r2 = r * r
-        flags += [(far <= F.lit(r2)).alias(f"all{i}"), (near <= F.lit(r2)).alias(f"some{i}")]
-    pb = pb.select("pid", *plo, *g.tcells, *[f"b{s}" for s in subs], "k", *flags)
+        flags += [(far <= F.lit(r * r)).alias(f"all{i}"), (near <= F.lit(r * r)).alias(f"some{i}")]
+    pb = pb.select("pid", *plo, "psalt", *g.tcells, *bsubs, "k", *flags)
     anyr = F.col("some0")
-    for i in range(1, len(radii)):
+    for i in range(1, nr):
         anyr = anyr | F.col(f"some{i}")
     pb = checkpoint(pb.filter(anyr))
-    whole = pb.groupBy("pid").agg(
-        *[F.sum(F.when(F.col(f"all{i}"), F.col("k")).otherwise(F.lit(0))).alias(f"w{i}") for i in range(len(radii))]
+    part_b = pb.select(
+        "pid", *[F.when(F.col(f"all{i}"), F.col("k")).otherwise(F.lit(0)).alias(f"n{i}") for i in range(nr)]
     )
+
+    # (3) point by point inside straddling sub-cells of large cells
     unsure = F.lit(False)
-    for i in range(len(radii)):
+    for i in range(nr):
         unsure = unsure | (F.col(f"some{i}") & ~F.col(f"all{i}"))
-    open_ = pb.filter(unsure)
-    open_ = g.hot.expand(open_, key_cols=g.tcells)
-    tg = pts.select(
-        F.col("id").alias("qid"),
-        *[F.col(x).alias(f"q{x}") for x in g.cols],
-        *[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)],
-        *[F.col(s).alias(f"b{s}") for s in subs],
-        "salt",
-    )
-    pp = open_.join(tg, on=g.tcells + [f"b{s}" for s in subs] + ["salt"]).withColumn("d2", g.pair_d2())
-    part = pp.groupBy("pid").agg(
+    op = g.hot.expand(pb.filter(unsure), key_cols=g.tcells)
+    tl = g.targets(large.select("*", *[F.col(s).alias(b) for s, b in zip(subs, bsubs)]), extra=tuple(bsubs))
+    pc = op.join(tl, on=g.keys + bsubs).withColumn("d2", g.pair_d2())
+    part_c = pc.select(
+        "pid",
         *[
-            F.sum(F.when(F.col(f"some{i}") & ~F.col(f"all{i}") & (F.col("d2") <= F.lit(r * r)), 1).otherwise(0)).alias(
-                f"e{i}"
-            )
-            for i, r in enumerate(radii)
-        ]
-    )
-    out = whole.join(part, "pid", "left")
-    return out.select(
-        F.col("pid").alias("id"),
-        *[(F.col(f"w{i}") + F.coalesce(F.col(f"e{i}"), F.lit(0))).cast("long").alias(f"n{i}") for i in range(len(radii))],
+            F.when(F.col(f"some{i}") & ~F.col(f"all{i}"), within(F.col("d2"), i)).otherwise(F.lit(0)).alias(f"n{i}")
+            for i in range(nr)
+        ],
     )
 
+    allp = part_a.unionByName(part_b).unionByName(part_c)
+    return allp.groupBy(F.col("pid").alias("id")).agg(*[F.sum(f"n{i}").cast("long").alias(f"n{i}") for i in range(nr)])
+
 
 def _knn_round(v: DataFrame, probes: DataFrame, r: float, k: int, hot_rows, max_broadcast_rows, final: bool):
     g = build_grid(v, r, hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows)
@@ -150,7 +170,7 @@ def _knn_round(v: DataFrame, probes: DataFrame, r: float, k: int, hot_rows, max_
     if n_need <= max_broadcast_rows:
         tg = tg.join(F.broadcast(need), on=g.tcells, how="left_semi")
     cand = (
-        pr.join(tg, on=g.tcells + ["salt"])
+        pr.join(tg, on=g.keys)
         .filter(F.col("pid") != F.col("qid"))
         .select("pid", "qid", g.pair_d2().alias("d2"))
         .filter(F.col("d2") <= F.lit(g.r2))
