@@ -9,8 +9,10 @@ within eps of each other ("cell contraction", grid DBSCAN after Gan & Tao):
   and a dense neighbour cell meets at most ``(2k+1)^d * min_pts`` such probes, so the
   counting work is linear in the data, whatever the density.
 
-Two core cells are linked when some pair of their cores is within eps.  That is decided
-on bounding boxes of sub-cells (``m^d`` per cell): a sub-cell pair whose *largest* box
+Two core cells are linked when some pair of their cores is within eps.  The 2d extreme
+cores of each cell (min and max per axis) are compared first, which settles most pairs
+of adjacent dense cells; the rest is decided on bounding boxes of sub-cells (``m^d`` per
+cell): a sub-cell pair whose *largest* box
 distance is within eps is a certain link, one whose *smallest* box distance exceeds eps
 is no link, and only the remaining sub-cell pairs of cell pairs without a certain link
 are checked point by point.
@@ -229,6 +231,25 @@ def cluster_roles(g: Grid, roles: DataFrame) -> DataFrame:
         corecells.select(*[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)], F.col("node").alias("node2")),
         on=g.tcells,
     )
+    # cheap certain links first: the 2d extreme cores of each cell (min and max per axis)
+    ext = []
+    for x in g.cols:
+        ext += [F.min(F.struct(F.col(x).alias("k"), *g.cols)).alias(f"mn{x}"), F.max(F.struct(F.col(x).alias("k"), *g.cols)).alias(f"mx{x}")]
+    reps = cores.groupBy(*g.cells).agg(*ext)
+    reps = reps.select(*g.cells, F.explode(F.array(*[F.col(c) for c in reps.columns if c not in g.cells])).alias("r"))
+    reps = reps.select(*g.cells, *[F.col(f"r.{x}").alias(x) for x in g.cols])
+    ra = reps.select(*g.cells, *[F.col(x).alias(f"p{x}") for x in g.cols])
+    rb = reps.select(*[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)], *[F.col(x).alias(f"q{x}") for x in g.cols])
+    rep_links = (
+        cand.join(ra, on=g.cells)
+        .join(rb, on=g.tcells)
+        .filter(g.pair_d2() <= F.lit(g.r2))
+        .select("node1", "node2", *g.cells)
+        .distinct()
+    )
+    rep_links = checkpoint(rep_links)
+    cand = cand.join(rep_links.select("node1", "node2"), on=["node1", "node2"], how="left_anti")
+
     a = summ.select(*g.cells, *[F.col(s).alias(f"a{s}") for s in subs], *[F.col(x).alias(f"a{x}") for x in lo + hi])
     b = summ.select(
         *[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)],
@@ -271,7 +292,7 @@ def cluster_roles(g: Grid, roles: DataFrame) -> DataFrame:
     step = step.join(cb, on=g.tcells + [f"b{s}" for s in subs] + ["bsalt"])
     point_edges = step.filter(g.pair_d2() <= F.lit(g.r2)).select("node1", "node2", *g.cells).distinct()
 
-    edges = certain_edges.unionByName(point_edges)
+    edges = rep_links.unionByName(certain_edges).unionByName(point_edges)
     labels = connected_components(
         corecells.select(F.col("node").alias("id")),
         edges.select(F.col("node1").alias("src"), F.col("node2").alias("dst"), *g.cells),
