@@ -1,0 +1,6 @@
+"""No streaming operators: the workload is batch clustering of whole tables.
+
+``operators.cluster.assign_new`` (label new points with a fitted model's cores) is a
+stream-static join plus a per-point minimum, so it can be applied to each micro-batch
+of a Structured Streaming query from ``foreachBatch``.
+"""
