@@ -132,3 +132,31 @@ def test_events_sf0001_matches_survey_numbers(spark):
     r = {x["role"]: (x["n"], x["k"]) for x in a.groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("cluster_id").alias("k")).collect()}
     assert r["core"] == (454, 26)
     assert r["border"][0] == 169
+
+
+@pytest.mark.parametrize("levels,hot_rows", [(0, 2_000_000), (3, 2_000_000), (3, 7)])
+def test_box_refinement_near_eps(spark, levels, hot_rows):
+    # dense blobs whose gaps sit close to eps, so sub-cell boxes straddle the radius
+    rng = np.random.default_rng(17)
+    eps = 0.5
+    centres = [(0.0, 0.0), (0.0 + eps * 1.9, 0.1), (0.3, eps * 2.05), (2.5, 2.5), (2.5 + eps * 1.02, 2.5)]
+    x = np.concatenate([c + rng.uniform(-eps * 0.45, eps * 0.45, (40, 2)) for c in centres])
+    ids = rng.permutation(5000)[: len(x)]
+    rows = [(int(i), float(a), float(b)) for i, (a, b) in zip(ids, x)]
+    got = as_dict(dbscan(pts_df(spark, rows), eps, 5, hot_rows=hot_rows, refine_levels=levels))
+    assert got == ref_dbscan(ids, x, eps, 5)
+
+
+@pytest.mark.parametrize("levels", [0, 3])
+def test_refinement_diagonal_arcs(spark, levels):
+    # closest cores are the arcs' middles, not any axis-extreme point: the extreme-core
+    # check finds no link and sub-cell boxes straddle eps, so refinement decides it
+    th = np.linspace(0, np.pi / 2, 20)
+    a = np.stack([0.1 * np.cos(th), 0.1 * np.sin(th)], 1)
+    b = np.stack([0.48 - 0.1 * np.cos(th), 0.48 - 0.1 * np.sin(th)], 1)
+    x = np.concatenate([a, b])
+    ids = np.arange(40) * 7 + 3
+    rows = [(int(i), float(p), float(q)) for i, (p, q) in zip(ids, x)]
+    got = as_dict(dbscan(pts_df(spark, rows), 0.5, 5, refine_levels=levels))
+    assert got == ref_dbscan(ids, x, 0.5, 5)
+    assert set(got.values()) == {("core", 3)}

@@ -196,7 +196,22 @@ def _subdivisions(d: int) -> int:
     return 4 if d <= 2 else 2
 
 
-def cluster_roles(g: Grid, roles: DataFrame) -> DataFrame:
+def _sub_exprs(g: Grid, m: int, level: int, names=None):
+    """Sub-cell index per axis at resolution ``m * 2^level`` within the cell."""
+    res = m * (2**level)
+    out = []
+    for i, (x, c) in enumerate(zip(g.cols, g.cells)):
+        e = F.least(F.greatest(F.floor((F.col(x) / F.lit(g.side) - F.col(c)) * F.lit(res)), F.lit(0)), F.lit(res - 1))
+        e = e.cast("int")
+        out.append(e.alias(names[i]) if names else e)
+    return out
+
+
+# Levels of box refinement for straddling sub-cell pairs before comparing points.
+REFINE_LEVELS = 3
+
+
+def cluster_roles(g: Grid, roles: DataFrame, refine_levels: int = REFINE_LEVELS) -> DataFrame:
     """Clusters from core flags: ``id, role, cluster_id`` for the valid points.
 
     ``roles`` has ``id, x.., c.., salt, core``.  cluster_id = smallest core id of the
@@ -276,23 +291,63 @@ def cluster_roles(g: Grid, roles: DataFrame) -> DataFrame:
         linked.filter(F.col("certain") == 0).select("node1", "node2", *g.cells), on=["node1", "node2", *g.cells]
     )
 
-    # point-level check for sub-cell pairs that the boxes could not decide
-    ca = cores_s.select(
+    # refine straddling sub-cell pairs: split each side into 2^d children and re-test
+    asubs, bsubs = [f"a{x}" for x in subs], [f"b{x}" for x in subs]
+    open_ = open_pairs.select("node1", "node2", *g.cells, *g.tcells, *asubs, *bsubs)
+    refined = []
+    cur = 0  # resolution level of the sub-cell ids in open_
+    for level in range(1, refine_levels + 1):
+        if open_.isEmpty():
+            break
+        cl = cores.select(
+            *g.cells, *[e.alias(f"p{x}") for e, x in zip(_sub_exprs(g, m, level - 1), subs)], *_sub_exprs(g, m, level, subs), *g.cols
+        )
+        kid = cl.groupBy(*g.cells, *[f"p{x}" for x in subs], *subs).agg(
+            *[F.min(x).alias(l) for x, l in zip(g.cols, lo)], *[F.max(x).alias(h) for x, h in zip(g.cols, hi)]
+        )
+        ka = kid.select(
+            *g.cells, *[F.col(f"p{x}").alias(a) for x, a in zip(subs, asubs)],
+            *[F.col(x).alias(f"n{a}") for x, a in zip(subs, asubs)], *[F.col(x).alias(f"a{x}") for x in lo + hi],
+        )
+        kb = kid.select(
+            *[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)], *[F.col(f"p{x}").alias(b) for x, b in zip(subs, bsubs)],
+            *[F.col(x).alias(f"n{b}") for x, b in zip(subs, bsubs)], *[F.col(x).alias(f"b{x}") for x in lo + hi],
+        )
+        kids = open_.join(ka, on=g.cells + asubs).join(kb, on=g.tcells + bsubs)
+        kids = kids.select(
+            "node1", "node2", *g.cells, *g.tcells,
+            *[F.col(f"n{a}").alias(a) for a in asubs], *[F.col(f"n{b}").alias(b) for b in bsubs],
+            (box_max_sqdist(alo, ahi, blo, bhi) <= F.lit(g.r2)).alias("certain"),
+            (box_min_sqdist(alo, ahi, blo, bhi) <= F.lit(g.r2)).alias("maybe"),
+        ).filter(F.col("maybe"))
+        kids = checkpoint(kids)
+        kl = kids.groupBy("node1", "node2", *g.cells).agg(F.max(F.col("certain").cast("int")).alias("certain"))
+        refined.append(kl.filter(F.col("certain") == 1).select("node1", "node2", *g.cells))
+        open_ = kids.join(kl.filter(F.col("certain") == 0).select("node1", "node2"), on=["node1", "node2"]).select(
+            "node1", "node2", *g.cells, *g.tcells, *asubs, *bsubs
+        )
+        cur = level
+
+    # point-level check for the sub-cell pairs the boxes could not decide
+    cores_f = cores.select("*", *_sub_exprs(g, m, cur, subs)) if cur else cores_s
+    ca = cores_f.select(
         *g.cells, *[F.col(s).alias(f"a{s}") for s in subs], *[F.col(x).alias(f"p{x}") for x in g.cols], "salt"
     )
-    cb = cores_s.select(
+    cb = cores_f.select(
         *[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)],
         *[F.col(s).alias(f"b{s}") for s in subs],
         *[F.col(x).alias(f"q{x}") for x in g.cols],
         F.col("salt").alias("bsalt"),
     )
-    opa = g.hot.expand(open_pairs, key_cols=g.cells)
+    opa = g.hot.expand(open_, key_cols=g.cells)
     step = opa.join(ca, on=g.cells + [f"a{s}" for s in subs] + ["salt"])
     step = g.hot.expand(step.drop("salt"), key_cols=g.tcells).withColumnRenamed("salt", "bsalt")
     step = step.join(cb, on=g.tcells + [f"b{s}" for s in subs] + ["bsalt"])
     point_edges = step.filter(g.pair_d2() <= F.lit(g.r2)).select("node1", "node2", *g.cells).distinct()
 
     edges = rep_links.unionByName(certain_edges).unionByName(point_edges)
+    for r in refined:
+        edges = edges.unionByName(r)
     labels = connected_components(
         corecells.select(F.col("node").alias("id")),
         edges.select(F.col("node1").alias("src"), F.col("node2").alias("dst"), *g.cells),
