@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import check_eps
@@ -133,9 +133,13 @@ class Grid:
             "salt",
             *extra,
         )
+        return self.expand_probe_salts(out)
+
+    def expand_probe_salts(self, df: DataFrame) -> DataFrame:
+        """Repeat rows keyed by ``t..`` once per probe-side salt around that cell."""
         if self.probe_hot.n_hot == 0:
-            return out.withColumn("psalt", F.lit(0))
-        out = out.join(self._probe_salts(), on=self.tcells, how="left")
+            return df.withColumn("psalt", F.lit(0))
+        out = df.join(self._probe_salts(), on=self.tcells, how="left")
         n = F.coalesce(F.col("pmax"), F.lit(1))
         return out.withColumn("psalt", F.explode(F.sequence(F.lit(0), n - F.lit(1)))).drop("pmax")
 
@@ -207,6 +211,43 @@ def _sub_exprs(g: Grid, m: int, level: int, names=None):
     return out
 
 
+def nearest_core(g: Grid, probes: DataFrame, cores_l: DataFrame, m: int | None = None) -> DataFrame:
+    """``pid, b``: for each probe row (``id, x.., c..[, salt]``) the nearest core of
+    ``cores_l`` (``id, x.., c.., salt, cluster_id``) within the radius, as
+    ``b = struct(d2, qid, cluster_id)`` (ties: smaller core id), or NULL.
+
+    Box pruning: cores are summarised per sub-cell.  For a probe, U = the smallest
+    farthest-corner distance over the boxes (a core within sqrt(U) surely exists), so
+    only boxes whose nearest corner is within min(U, r^2) can hold the nearest core,
+    and only their points are compared.  Both sides are salted by hot cell."""
+    m = m or _subdivisions(g.d)
+    subs = [f"s{i}" for i in range(g.d)]
+    bsubs = [f"b{x}" for x in subs]
+    lo = [f"lo{i}" for i in range(g.d)]
+    hi = [f"hi{i}" for i in range(g.d)]
+    cs = cores_l.select("*", *_sub_exprs(g, m, 0, subs))
+    boxes = cs.groupBy(*g.cells, *subs).agg(
+        *[F.min(x).alias(l) for x, l in zip(g.cols, lo)], *[F.max(x).alias(h) for x, h in zip(g.cols, hi)]
+    )
+    boxes = g.expand_probe_salts(
+        boxes.select(*[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)], *[F.col(x).alias(b) for x, b in zip(subs, bsubs)], *lo, *hi)
+    )
+    pr = g.probe(probes, salted=False)
+    plo = [f"p{x}" for x in g.cols]
+    pb = pr.join(boxes, on=g.tcells + ["psalt"]).select(
+        "pid", *plo, "psalt", *g.tcells, *bsubs,
+        box_min_sqdist(plo, plo, lo, hi).alias("near"), box_max_sqdist(plo, plo, lo, hi).alias("far"),
+    ).filter(F.col("near") <= F.lit(g.r2))
+    bound = F.least(F.min("far").over(Window.partitionBy("pid")), F.lit(g.r2))
+    keep = pb.withColumn("u", bound).filter(F.col("near") <= F.col("u")).drop("near", "far", "u")
+    keep = g.hot.expand(keep, key_cols=g.tcells)
+    tg = g.targets(cs, extra=(*[F.col(x).alias(b) for x, b in zip(subs, bsubs)], "cluster_id"))
+    hits = keep.join(tg, on=g.keys + bsubs).withColumn("d2", g.pair_d2()).filter(F.col("d2") <= F.lit(g.r2))
+    best = hits.groupBy("pid").agg(F.min(F.struct("d2", "qid", "cluster_id")).alias("b"))
+    ids = probes.select(F.col("id").alias("pid"))
+    return ids.join(best, "pid", "left")
+
+
 # Levels of box refinement for straddling sub-cell pairs before comparing points.
 REFINE_LEVELS = 3
 
@@ -358,13 +399,7 @@ def cluster_roles(g: Grid, roles: DataFrame, refine_levels: int = REFINE_LEVELS)
 
     core_out = cores_l.select("id", F.lit("core").alias("role"), F.col("cluster_id").cast("long"))
     noncore = roles.filter(~F.col("core"))
-    probes = g.probe(noncore)
-    tg = g.targets(cores_l, extra=("cluster_id",))
-    cond = [probes[c] == tg[c] for c in g.keys] + [g.pair_d2() <= F.lit(g.r2)]
-    within = probes.join(tg, on=cond, how="left")
-    best = within.groupBy("pid").agg(
-        F.min(F.when(F.col("qid").isNotNull(), F.struct(g.pair_d2().alias("d2"), "qid", "cluster_id"))).alias("b")
-    )
+    best = nearest_core(g, noncore, cores_l, m)
     other_out = best.select(
         F.col("pid").alias("id"),
         F.when(F.col("b").isNull(), F.lit("noise")).otherwise(F.lit("border")).alias("role"),
