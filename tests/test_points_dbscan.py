@@ -160,3 +160,56 @@ def test_refinement_diagonal_arcs(spark, levels):
     got = as_dict(dbscan(pts_df(spark, rows), 0.5, 5, refine_levels=levels))
     assert got == ref_dbscan(ids, x, 0.5, 5)
     assert set(got.values()) == {("core", 3)}
+
+
+@pytest.mark.parametrize("hot_rows", [2_000_000, 4])
+def test_assign_new_hot_probe_side(spark, hot_rows):
+    from reference_impl import d2_matrix
+    from vardens.operators.cluster import assign_new, model_cores
+
+    rng = np.random.default_rng(31)
+    model = np.concatenate([rng.normal(0, 0.2, (60, 2)), rng.normal(2, 0.2, (60, 2))])
+    fresh = np.concatenate([np.repeat([[0.05, 0.05]], 30, 0), rng.uniform(-1, 3, (40, 2))])
+    mp = pts_df(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(model)])
+    nid = np.arange(len(fresh)) + 1000
+    newp = pts_df(spark, [(int(i), float(a), float(b)) for i, (a, b) in zip(nid, fresh)] + [(9999, None, 1.0)])
+    fit = dbscan(mp, 0.3, 5)
+    got = {r["id"]: r["cluster_id"] for r in assign_new(model_cores(fit, mp), newp, 0.3, hot_rows=hot_rows).collect()}
+    ref = ref_dbscan(np.arange(len(model)), model, 0.3, 5)
+    cores = [i for i, v in ref.items() if v[0] == "core"]
+    want = {9999: None}
+    for k, p in zip(nid, fresh):
+        c = sorted((float(((p - model[i]) ** 2).sum()), i) for i in cores)
+        c = [t for t in c if t[0] <= 0.09]
+        want[int(k)] = ref[c[0][1]][1] if c else -1
+    assert got == want
+
+
+def test_multi_level_against_numpy(spark):
+    from reference_impl import d2_matrix
+    from vardens.operators.cluster import multi_level_dbscan
+
+    rng = np.random.default_rng(41)
+    x = np.concatenate([rng.normal(0, 0.05, (60, 2)), rng.normal(2, 0.4, (60, 2)), rng.uniform(-2, 4, (15, 2))])
+    ids = np.arange(len(x)) * 2 + 1
+    got = {r["id"]: (r["role"], r["cluster_id"], r["level"]) for r in
+           multi_level_dbscan(pts_df(spark, [(int(i), float(a), float(b)) for i, (a, b) in zip(ids, x)]), 3, [0.3, 0.8]).collect()}
+    d2 = d2_matrix(x)
+    kd = np.sqrt(np.sort(d2, 1)[:, 3])
+    s = np.sort(kd)
+    levels = []
+    for q in [0.3, 0.8]:
+        pos = (len(s) - 1) * q
+        lo, hi = s[int(np.floor(pos))], s[int(np.ceil(pos))]
+        levels.append(round(lo + (hi - lo) * (pos - np.floor(pos)), 6))
+    levels = sorted(set(levels))
+    want, rest = {}, np.arange(len(x))
+    for lv, e in enumerate(levels, 1):
+        r = ref_dbscan(ids[rest], x[rest], e, 4)
+        for k, (role, cid) in r.items():
+            if role != "noise":
+                want[k] = (role, cid, lv)
+        rest = np.array([i for i in rest if int(ids[i]) not in want])
+    for i in rest:
+        want[int(ids[i])] = ("noise", -1, None)
+    assert got == want
