@@ -135,7 +135,10 @@ def test_events_sf0001_matches_survey_numbers(spark):
 
 
 @pytest.mark.parametrize("levels,hot_rows", [(0, 2_000_000), (3, 2_000_000), (3, 7)])
-def test_box_refinement_near_eps(spark, levels, hot_rows):
+def test_box_refinement_near_eps(spark, levels, hot_rows, monkeypatch):
+    import vardens.operators.grid as grid
+
+    monkeypatch.setattr(grid, "REFINE_MIN_WORK", 0)
     # dense blobs whose gaps sit close to eps, so sub-cell boxes straddle the radius
     rng = np.random.default_rng(17)
     eps = 0.5
@@ -147,8 +150,11 @@ def test_box_refinement_near_eps(spark, levels, hot_rows):
     assert got == ref_dbscan(ids, x, eps, 5)
 
 
-@pytest.mark.parametrize("levels", [0, 3])
-def test_refinement_diagonal_arcs(spark, levels):
+@pytest.mark.parametrize("levels,min_work", [(0, 4096), (3, 4096), (3, 0), (1, 0)])
+def test_refinement_diagonal_arcs(spark, levels, min_work, monkeypatch):
+    import vardens.operators.grid as grid
+
+    monkeypatch.setattr(grid, "REFINE_MIN_WORK", min_work)
     # closest cores are the arcs' middles, not any axis-extreme point: the extreme-core
     # check finds no link and sub-cell boxes straddle eps, so refinement decides it
     th = np.linspace(0, np.pi / 2, 20)

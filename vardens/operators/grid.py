@@ -248,8 +248,10 @@ def nearest_core(g: Grid, probes: DataFrame, cores_l: DataFrame, m: int | None =
     return ids.join(best, "pid", "left")
 
 
-# Levels of box refinement for straddling sub-cell pairs before comparing points.
+# Levels of box refinement for straddling sub-cell pairs before comparing points, and
+# the point-pair count above which an undecided sub-cell pair is refined at all.
 REFINE_LEVELS = 3
+REFINE_MIN_WORK = 4096
 
 
 def cluster_roles(g: Grid, roles: DataFrame, refine_levels: int = REFINE_LEVELS) -> DataFrame:
@@ -275,6 +277,7 @@ def cluster_roles(g: Grid, roles: DataFrame, refine_levels: int = REFINE_LEVELS)
     summ = checkpoint(
         cores_s.groupBy(*g.cells, *subs).agg(
             F.min("id").alias("mid"),
+            F.count(F.lit(1)).alias("k"),
             *[F.min(x).alias(l) for x, l in zip(g.cols, lo)],
             *[F.max(x).alias(h) for x, h in zip(g.cols, hi)],
         )
@@ -306,89 +309,78 @@ def cluster_roles(g: Grid, roles: DataFrame, refine_levels: int = REFINE_LEVELS)
     rep_links = checkpoint(rep_links)
     cand = cand.join(rep_links.select("node1", "node2"), on=["node1", "node2"], how="left_anti")
 
-    a = summ.select(*g.cells, *[F.col(s).alias(f"a{s}") for s in subs], *[F.col(x).alias(f"a{x}") for x in lo + hi])
-    b = summ.select(
-        *[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)],
-        *[F.col(s).alias(f"b{s}") for s in subs],
-        *[F.col(x).alias(f"b{x}") for x in lo + hi],
-    )
-    sp = cand.join(a, on=g.cells).join(b, on=g.tcells)
+    asubs, bsubs = [f"a{x}" for x in subs], [f"b{x}" for x in subs]
     alo, ahi = [f"a{x}" for x in lo], [f"a{x}" for x in hi]
     blo, bhi = [f"b{x}" for x in lo], [f"b{x}" for x in hi]
-    sp = sp.select(
-        "node1",
-        "node2",
-        *g.cells,
-        *g.tcells,
-        *[f"a{s}" for s in subs],
-        *[f"b{s}" for s in subs],
-        (box_max_sqdist(alo, ahi, blo, bhi) <= F.lit(g.r2)).alias("certain"),
-        (box_min_sqdist(alo, ahi, blo, bhi) <= F.lit(g.r2)).alias("maybe"),
-    ).filter(F.col("maybe"))
-    sp = checkpoint(sp)
-    linked = sp.groupBy("node1", "node2", *g.cells).agg(F.max(F.col("certain").cast("int")).alias("certain"))
-    certain_edges = linked.filter(F.col("certain") == 1).select("node1", "node2", *g.cells)
-    open_pairs = sp.join(
-        linked.filter(F.col("certain") == 0).select("node1", "node2", *g.cells), on=["node1", "node2", *g.cells]
-    )
+    keep_cols = ["node1", "node2", *g.cells, *g.tcells, *asubs, *bsubs, "ka", "kb"]
 
-    # refine straddling sub-cell pairs: split each side into 2^d children and re-test
-    asubs, bsubs = [f"a{x}" for x in subs], [f"b{x}" for x in subs]
-    open_ = open_pairs.select("node1", "node2", *g.cells, *g.tcells, *asubs, *bsubs)
-    refined = []
-    cur = 0  # resolution level of the sub-cell ids in open_
+    def classify(df):
+        return df.select(
+            *keep_cols,
+            (box_max_sqdist(alo, ahi, blo, bhi) <= F.lit(g.r2)).alias("certain"),
+            (box_min_sqdist(alo, ahi, blo, bhi) <= F.lit(g.r2)).alias("maybe"),
+        ).filter(F.col("maybe"))
+
+    a = summ.select(*g.cells, *[F.col(x).alias(y) for x, y in zip(subs, asubs)], F.col("k").alias("ka"),
+                    *[F.col(x).alias(f"a{x}") for x in lo + hi])
+    b = summ.select(*[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)], *[F.col(x).alias(y) for x, y in zip(subs, bsubs)],
+                    F.col("k").alias("kb"), *[F.col(x).alias(f"b{x}") for x in lo + hi])
+    sp = checkpoint(classify(cand.join(a, on=g.cells).join(b, on=g.tcells)))
+
+    def settle(pairs):
+        """-> (certain links, undecided sub-cell pairs of cell pairs without one)."""
+        linked = pairs.groupBy("node1", "node2", *g.cells).agg(F.max(F.col("certain").cast("int")).alias("certain"))
+        sure = linked.filter(F.col("certain") == 1).select("node1", "node2", *g.cells)
+        rest = pairs.join(linked.filter(F.col("certain") == 0).select("node1", "node2"), on=["node1", "node2"])
+        return sure, rest.select(*keep_cols)
+
+    def point_links(pairs, level):
+        """Compare the cores of undecided sub-cell pairs (sub-cells at ``level``)."""
+        cf = cores.select("*", *_sub_exprs(g, m, level, subs))
+        ca = cf.select(*g.cells, *[F.col(x).alias(y) for x, y in zip(subs, asubs)], *[F.col(x).alias(f"p{x}") for x in g.cols], "salt")
+        cb = cf.select(*[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)], *[F.col(x).alias(y) for x, y in zip(subs, bsubs)],
+                       *[F.col(x).alias(f"q{x}") for x in g.cols], F.col("salt").alias("bsalt"))
+        step = g.hot.expand(pairs.select("node1", "node2", *g.cells, *g.tcells, *asubs, *bsubs), key_cols=g.cells)
+        step = step.join(ca, on=g.cells + asubs + ["salt"])
+        step = g.hot.expand(step.drop("salt"), key_cols=g.tcells).withColumnRenamed("salt", "bsalt")
+        step = step.join(cb, on=g.tcells + bsubs + ["bsalt"])
+        return step.filter(g.pair_d2() <= F.lit(g.r2)).select("node1", "node2", *g.cells).distinct()
+
+    certain_edges, open_ = settle(sp)
+    # undecided pairs with few points are compared directly; heavy ones are refined:
+    # each side split into 2^d children and re-tested on boxes, up to refine_levels
+    heavy = (F.col("ka").cast("double") * F.col("kb").cast("double")) > F.lit(float(REFINE_MIN_WORK))
+    refined = [certain_edges]
+    point_edges = point_links(open_.filter(~heavy), 0)
     for level in range(1, refine_levels + 1):
-        if open_.isEmpty():
+        big = open_.filter(heavy)
+        if big.isEmpty():
             break
         cl = cores.select(
             *g.cells, *[e.alias(f"p{x}") for e, x in zip(_sub_exprs(g, m, level - 1), subs)], *_sub_exprs(g, m, level, subs), *g.cols
         )
         kid = cl.groupBy(*g.cells, *[f"p{x}" for x in subs], *subs).agg(
-            *[F.min(x).alias(l) for x, l in zip(g.cols, lo)], *[F.max(x).alias(h) for x, h in zip(g.cols, hi)]
-        )
-        ka = kid.select(
-            *g.cells, *[F.col(f"p{x}").alias(a) for x, a in zip(subs, asubs)],
-            *[F.col(x).alias(f"n{a}") for x, a in zip(subs, asubs)], *[F.col(x).alias(f"a{x}") for x in lo + hi],
+            F.count(F.lit(1)).alias("k"), *[F.min(x).alias(l) for x, l in zip(g.cols, lo)], *[F.max(x).alias(h) for x, h in zip(g.cols, hi)]
         )
-        kb = kid.select(
-            *[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)], *[F.col(f"p{x}").alias(b) for x, b in zip(subs, bsubs)],
-            *[F.col(x).alias(f"n{b}") for x, b in zip(subs, bsubs)], *[F.col(x).alias(f"b{x}") for x in lo + hi],
+        ka = kid.select(*g.cells, *[F.col(f"p{x}").alias(y) for x, y in zip(subs, asubs)],
+                        *[F.col(x).alias(f"n{y}") for x, y in zip(subs, asubs)], F.col("k").alias("nka"), *[F.col(x).alias(f"a{x}") for x in lo + hi])
+        kb = kid.select(*[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)], *[F.col(f"p{x}").alias(y) for x, y in zip(subs, bsubs)],
+                        *[F.col(x).alias(f"n{y}") for x, y in zip(subs, bsubs)], F.col("k").alias("nkb"), *[F.col(x).alias(f"b{x}") for x in lo + hi])
+        kids = big.drop("ka", "kb").join(ka, on=g.cells + asubs).join(kb, on=g.tcells + bsubs)
+        kids = kids.drop(*asubs, *bsubs).select(
+            "*", *[F.col(f"n{y}").alias(y) for y in asubs + bsubs], F.col("nka").alias("ka"), F.col("nkb").alias("kb")
         )
-        kids = open_.join(ka, on=g.cells + asubs).join(kb, on=g.tcells + bsubs)
-        kids = kids.select(
-            "node1", "node2", *g.cells, *g.tcells,
-            *[F.col(f"n{a}").alias(a) for a in asubs], *[F.col(f"n{b}").alias(b) for b in bsubs],
-            (box_max_sqdist(alo, ahi, blo, bhi) <= F.lit(g.r2)).alias("certain"),
-            (box_min_sqdist(alo, ahi, blo, bhi) <= F.lit(g.r2)).alias("maybe"),
-        ).filter(F.col("maybe"))
-        kids = checkpoint(kids)
-        kl = kids.groupBy("node1", "node2", *g.cells).agg(F.max(F.col("certain").cast("int")).alias("certain"))
-        refined.append(kl.filter(F.col("certain") == 1).select("node1", "node2", *g.cells))
-        open_ = kids.join(kl.filter(F.col("certain") == 0).select("node1", "node2"), on=["node1", "node2"]).select(
-            "node1", "node2", *g.cells, *g.tcells, *asubs, *bsubs
-        )
-        cur = level
-
-    # point-level check for the sub-cell pairs the boxes could not decide
-    cores_f = cores.select("*", *_sub_exprs(g, m, cur, subs)) if cur else cores_s
-    ca = cores_f.select(
-        *g.cells, *[F.col(s).alias(f"a{s}") for s in subs], *[F.col(x).alias(f"p{x}") for x in g.cols], "salt"
-    )
-    cb = cores_f.select(
-        *[F.col(c).alias(t) for c, t in zip(g.cells, g.tcells)],
-        *[F.col(s).alias(f"b{s}") for s in subs],
-        *[F.col(x).alias(f"q{x}") for x in g.cols],
-        F.col("salt").alias("bsalt"),
-    )
-    opa = g.hot.expand(open_, key_cols=g.cells)
-    step = opa.join(ca, on=g.cells + [f"a{s}" for s in subs] + ["salt"])
-    step = g.hot.expand(step.drop("salt"), key_cols=g.tcells).withColumnRenamed("salt", "bsalt")
-    step = step.join(cb, on=g.tcells + [f"b{s}" for s in subs] + ["bsalt"])
-    point_edges = step.filter(g.pair_d2() <= F.lit(g.r2)).select("node1", "node2", *g.cells).distinct()
-
+        kids = checkpoint(classify(kids))
+        sure, open_ = settle(kids)
+        refined.append(sure)
+        last = level == refine_levels
+        point_edges = point_edges.unionByName(point_links(open_ if last else open_.filter(~heavy), level))
+    if refine_levels == 0:
+        point_edges = point_edges.unionByName(point_links(open_.filter(heavy), 0))
+    certain_edges = refined[0]
+    for r in refined[1:]:
+        certain_edges = certain_edges.unionByName(r)
     edges = rep_links.unionByName(certain_edges).unionByName(point_edges)
-    for r in refined:
-        edges = edges.unionByName(r)
     labels = connected_components(
         corecells.select(F.col("node").alias("id")),
         edges.select(F.col("node1").alias("src"), F.col("node2").alias("dst"), *g.cells),
