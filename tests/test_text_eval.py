@@ -131,3 +131,18 @@ def test_scaling(spark):
     arr = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id long, e array<double>")
     n = {r["id"]: (r["features"], r["valid"]) for r in l2_normalise(points_from_array(arr, "id", "e", 2)).collect()}
     assert n[1] == ([0.6, 0.8], True) and n[2][1] is False
+
+
+def test_tfidf_hot_terms_salted_equal(spark):
+    base = {(r["id"], r["term"]): r["weight"] for r in text_weights(docs(spark), 1, 8).collect()}
+    hot = {(r["id"], r["term"]): r["weight"] for r in text_weights(docs(spark), 1, 8, hot_rows=1).collect()}
+    assert base.keys() == hot.keys()
+    for k in base:
+        assert hot[k] == pytest.approx(base[k])
+
+
+def test_documents_from_sf0001(spark):
+    from vardens.sources.tables import documents
+
+    d = documents(spark, "/root/testdata/sf0.001")
+    assert d.count() == 200 and d.filter(F.col("text").isNull()).count() == 0
