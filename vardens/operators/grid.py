@@ -5,9 +5,10 @@ within eps of each other ("cell contraction", grid DBSCAN after Gan & Tao):
 
 * a cell holding at least ``min_pts`` points is all core, with no pair enumerated;
 * all cores of one cell belong to one cluster, so components are computed over cells;
-* only points of *sparse* cells (fewer than ``min_pts`` points) are counted pair by pair,
-  and a dense neighbour cell meets at most ``(2k+1)^d * min_pts`` such probes, so the
-  counting work is linear in the data, whatever the density.
+* only points of *sparse* cells (fewer than ``min_pts`` points) are counted, and a dense
+  neighbour cell meets at most ``(2k+1)^d * min_pts`` such probes; large neighbour cells
+  are counted through sub-cell boxes (``neighbours.count_within``), so the counting work
+  is linear in the data whatever the density.
 
 Two core cells are linked when some pair of their cores is within eps.  The 2d extreme
 cores of each cell (min and max per axis) are compared first, which settles most pairs
@@ -179,19 +180,12 @@ def contracted_roles(g: Grid, min_pts: int) -> DataFrame:
     dense = p.filter(F.col("n") >= min_pts).select(
         "id", *g.cols, *g.cells, "salt", F.lit(True).alias("core"), F.lit(None).cast("long").alias("n_eps")
     )
+    from .neighbours import count_within
+
     sparse = p.filter(F.col("n") < min_pts)
-    probes = g.probe(sparse)
-    pairs = probes.join(g.targets(p), on=g.keys).filter(g.pair_d2() <= F.lit(g.r2))
-    counted = pairs.groupBy("pid", *[f"p{x}" for x in g.cols], *[f"p{c}" for c in g.cells]).agg(
-        F.count(F.lit(1)).alias("n_eps")
-    )
-    sparse_roles = counted.select(
-        F.col("pid").alias("id"),
-        *[F.col(f"p{x}").alias(x) for x in g.cols],
-        *[F.col(f"p{c}").alias(c) for c in g.cells],
-        F.lit(0).alias("salt"),
-        (F.col("n_eps") >= min_pts).alias("core"),
-        "n_eps",
+    counted = count_within(g, sparse, [g.radius]).select("id", F.col("n0").alias("n_eps"))
+    sparse_roles = sparse.join(counted, "id").select(
+        "id", *g.cols, *g.cells, "salt", (F.col("n_eps") >= min_pts).alias("core"), "n_eps"
     )
     return dense.unionByName(sparse_roles)
 

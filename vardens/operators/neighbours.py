@@ -82,8 +82,15 @@ def neighbour_counts(
     produce pairs.  Probe and target sides are both salted by hot cell.
     """
     radii = [check_eps(r, "radius") for r in radii]
-    big = max(radii)
-    g = build_grid(points, big, hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows)
+    g = build_grid(points, max(radii), hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows)
+    return count_within(g, g.pts, radii, subdivisions, small_cell_rows)
+
+
+def count_within(
+    g, probe_pts: DataFrame, radii: list[float], subdivisions: int | None = None, small_cell_rows: int = SMALL_CELL_ROWS
+) -> DataFrame:
+    """``id, n0, ...``: exact counts of ``g.pts`` within each radius (<= the grid's) of
+    every row of ``probe_pts`` (``id, x.., c.., salt``), see ``neighbour_counts``."""
     m = subdivisions or (4 if g.d <= 2 else 2)
     subs = [f"s{i}" for i in range(g.d)]
     bsubs = [f"b{x}" for x in subs]
@@ -96,7 +103,7 @@ def neighbour_counts(
     pts = g.pts.select("id", *g.cols, *g.cells, "salt", "n", *sub_exprs)
     small = pts.filter(F.col("n") <= F.lit(small_cell_rows))
     large = pts.filter(F.col("n") > F.lit(small_cell_rows))
-    probes = g.probe(pts)
+    probes = g.probe(probe_pts.select("id", *g.cols, *g.cells, "salt"))
     nr = len(radii)
 
     def within(d2, i):
