@@ -95,3 +95,27 @@ def test_array_points_validation(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [float("nan"), 1.0])], "id long, e array<double>")
     v = {r["id"]: r["valid"] for r in points_from_array(df, "id", "e", 2).collect()}
     assert v == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_eps_join_lsh_is_subset_of_exact(spark):
+    from vardens.operators.neighbours import eps_join_lsh
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (150, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, e array<double>")
+    p = points_from_array(df, "id", "e", 8)
+    exact = {(r["src"], r["dst"]) for r in eps_join_blocked(p, 0.9, block_rows=40).collect()}
+    approx = {(r["src"], r["dst"]) for r in eps_join_lsh(p, 0.9).collect()}
+    assert approx <= exact and all((b, a) in approx for a, b in approx)
+    assert len(approx) >= 0.5 * len(exact)
+
+
+def test_write_assignments_round_trip(spark, tmp_path):
+    from vardens.sources.points import write_assignments
+
+    p, ids, x = blob(spark, n=20)
+    write_assignments(p, str(tmp_path / "out"))
+    write_assignments(p, str(tmp_path / "out"))  # overwrite by path
+    back = {r["id"]: (r["x0"], r["x1"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert back == {r["id"]: (r["x0"], r["x1"]) for r in p.collect()}
