@@ -119,3 +119,10 @@ def test_write_assignments_round_trip(spark, tmp_path):
     write_assignments(p, str(tmp_path / "out"))  # overwrite by path
     back = {r["id"]: (r["x0"], r["x1"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert back == {r["id"]: (r["x0"], r["x1"]) for r in p.collect()}
+
+
+def test_exact_quantiles_empty_and_nan(spark):
+    df = spark.createDataFrame([(1, None), (2, float("nan"))], "id long, k_dist double")
+    assert exact_quantiles(df, "k_dist", [0.5]) == [None]
+    with pytest.raises(ValueError):
+        exact_quantiles(df, "k_dist", [1.5])

@@ -219,3 +219,10 @@ def test_multi_level_against_numpy(spark):
     for i in rest:
         want[int(ids[i])] = ("noise", -1, None)
     assert got == want
+
+
+def test_validate_rejects_duplicate_ids(spark):
+    p = pts_df(spark, [(1, 0.0, 0.0), (1, 1.0, 1.0), (2, 0.5, 0.5)])
+    with pytest.raises(ValueError):
+        dbscan(p, 0.5, 2, validate=True)
+    assert dbscan(pts_df(spark, [(1, 0.0, 0.0), (2, 0.1, 0.0)]), 0.5, 2, validate=True).count() == 2
