@@ -118,3 +118,13 @@ def op7(spark, sf_dir):
     path = write_archives(table(spark, sf_dir, "pages"), new_archive(spark))
     records = read_archives(spark, path, payloads=False).filter(F.col("reason").isNull())
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# --------------------------------------------------------------------------- 10
+
+
+@register("op10_decontaminate")
+def op10(spark, sf_dir):
+    from .decontaminate import flag_documents
+
+    return flag_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
