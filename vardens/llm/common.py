@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,35 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
 def texts(column) -> list[str]:
     """A text column as Python strings, null as empty."""
     return [t or "" for t in column.to_pylist()]
+
+
+def pieces(column: pa.Array, max_bytes: int = 8 << 20):
+    """Cut a text column into ``(start, slice)`` runs of rows of about ``max_bytes`` each.
+
+    One longer text is a run of its own; null becomes the empty text.
+    """
+    column = pc.fill_null(column, "")
+    ends = np.cumsum(np.asarray(pc.binary_length(column), np.int64))
+    start = 0
+    while start < len(column):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
+        yield start, column.slice(start, stop - start)
+        start = stop
+
+
+def words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of a null-free text column, A-Z lower-cased: the distinct words, and for
+    every word in text order its number among them and the row it stands in."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    coded = lists.flatten().dictionary_encode()
+    codes = np.asarray(coded.indices, np.int64)
+    rows = np.repeat(np.arange(len(column)), np.diff(np.asarray(lists.offsets)))
+    blank = pc.index(coded.dictionary, "").as_py()  # a text that starts or ends with a blank
+    if blank >= 0:
+        kept = codes != blank
+        codes, rows = codes[kept], rows[kept]
+        codes = codes - (codes > blank)
+        known = np.arange(len(coded.dictionary)) != blank
+        return coded.dictionary.filter(pa.array(known)), codes, rows
+    return coded.dictionary, codes, rows

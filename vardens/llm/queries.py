@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 from .registry import register
 
 # --------------------------------------------------------------------------- 2
@@ -128,3 +128,42 @@ def op10(spark, sf_dir):
     from .decontaminate import flag_documents
 
     return flag_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --------------------------------------------------------------------------- 9
+
+
+@register("op9_toxicity")
+def op9(spark, sf_dir):
+    from .toxicity import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels, fold("doc_id", 5) != 0)
+    return score(docs, model, ["doc_id"]).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+# --------------------------------------------------------------------------- 5
+
+QUALITY_AT = 0.7
+
+
+def quality_model(spark, sf_dir, stats):
+    """Fitted on the statistics of the labelled documents outside the held-out fold."""
+    from .rule_ensemble import fit
+
+    return fit(stats, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+
+
+@register("op5_quality_classifier")
+def op5(spark, sf_dir):
+    from ..session import checkpoint
+    from .rule_ensemble import with_stats
+
+    stats = checkpoint(with_stats(table(spark, sf_dir, "documents"), ["doc_id"]))
+    scored = stats.withColumn("score", quality_model(spark, sf_dir, stats).column())
+    return scored.select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"),
+    )
