@@ -167,3 +167,19 @@ def op5(spark, sf_dir):
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
         (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"),
     )
+
+
+# --------------------------------------------------------------------------- 4
+
+
+@register("op4_sentencepiece")
+def op4(spark, sf_dir):
+    """Sampled pieces of every text, and whether decoding them gives the text back."""
+    from .sentencepiece_sampling import decode, encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = decode(encode(docs))
+    return done.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"),
+        F.octet_length("text").cast("long").alias("n_bytes"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
