@@ -183,3 +183,14 @@ def op4(spark, sf_dir):
         "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"),
         F.octet_length("text").cast("long").alias("n_bytes"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
     )
+
+
+# --------------------------------------------------------------------------- 8
+
+
+@register("op8_html_extraction")
+def op8(spark, sf_dir):
+    from .html_blocks import extract, fit
+
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, fit(pages), ["page_id", "url"])
