@@ -194,3 +194,41 @@ def op8(spark, sf_dir):
 
     pages = table(spark, sf_dir, "pages")
     return extract(pages, fit(pages), ["page_id", "url"])
+
+
+# --------------------------------------------------------------------------- 6
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+    WHEN len(w) > 0 THEN ['#' || array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM w
+), h AS (
+  SELECT doc_id, hash(g) AS g FROM s
+), n AS (
+  SELECT doc_id, count(*)::bigint AS n FROM h GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM h a JOIN h b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 75 * (p.n + q.n - o)
+), reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT y, root FROM reach JOIN links ON x = reach.doc_id
+)
+SELECT doc_id, coalesce(any_value(n), 0)::bigint AS n_shingles, min(root) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
+@register("op6_jaccard_join", OP6_SQL)
+def op6(spark, sf_dir):
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
