@@ -232,3 +232,16 @@ def op6(spark, sf_dir):
     from .jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# --------------------------------------------------------------------------- 1
+
+
+@register("op1_pitman_yor")
+def op1(spark, sf_dir):
+    from .pitman_yor import score_texts
+
+    scored = score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return scored.select(
+        "doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
