@@ -149,20 +149,19 @@ def op9(spark, sf_dir):
 QUALITY_AT = 0.7
 
 
-def quality_model(spark, sf_dir, stats):
-    """Fitted on the statistics of the labelled documents outside the held-out fold."""
+def quality_model(spark, sf_dir, docs):
+    """Fitted on the labelled ones among ``docs`` outside the held-out fold."""
     from .rule_ensemble import fit
 
-    return fit(stats, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
 
 
 @register("op5_quality_classifier")
 def op5(spark, sf_dir):
-    from ..session import checkpoint
     from .rule_ensemble import with_stats
 
-    stats = checkpoint(with_stats(table(spark, sf_dir, "documents"), ["doc_id"]))
-    scored = stats.withColumn("score", quality_model(spark, sf_dir, stats).column())
+    docs = table(spark, sf_dir, "documents")
+    scored = with_stats(docs, ["doc_id"]).withColumn("score", quality_model(spark, sf_dir, docs).column())
     return scored.select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
         (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"),

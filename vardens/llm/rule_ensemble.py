@@ -10,8 +10,8 @@
    is plain code-generated SQL over the statistics.
 
 The sample is bounded by ``max_rows`` labelled rows (smallest hash of the id first),
-whatever the corpus' size; only their statistics reach the driver.  Statistics are
-written once and serve both fitting and scoring, so each text is read once.
+whatever the corpus' size; only their statistics reach the driver.  Repeated ids can
+make more rows of it, of which twice ``max_rows`` are used at most.
 
 Defined cases: a null or empty text has all statistics 0 and is scored like any other;
 without labelled rows the score is 0.5, with one class only it is that class' smoothed
@@ -187,18 +187,25 @@ def train(x: np.ndarray, y: np.ndarray, penalty: float = LASSO) -> Model:
 
 
 def fit(
-    stats: DataFrame,
+    docs: DataFrame,
     labels: DataFrame,
     learn: Column,
     id_col: str = "doc_id",
+    text_col: str = "text",
     label_col: str = "quality",
     max_rows: int = MAX_ROWS,
 ) -> Model:
-    """Train on labelled rows for which ``learn`` (a condition on ``id_col``) holds."""
+    """Train on labelled rows for which ``learn`` (a condition on ``id_col``) holds.
+
+    The labels are chosen first; their ids (at most ``max_rows``) are broadcast to pick
+    the texts, so only those texts get statistics here.
+    """
     judged = labels.filter(learn).filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = judged.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_rows)
-    rows = stats.join(chosen, F.col(id_col) == F.col("__id")).orderBy(F.xxhash64("__id"), "__id", "__y", *STATS)
-    got = rows.select("__y", *STATS).limit(2 * max_rows).toArrow()
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__body"))
+    rows = rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    stats = with_stats(rows, ["__id", "__y"], "__body").orderBy(F.xxhash64("__id"), "__id", "__y", *STATS)
+    got = stats.select("__y", *STATS).limit(2 * max_rows).toArrow()
     x = np.stack([got.column(s).to_numpy() for s in STATS], 1) if got.num_rows else np.zeros((0, len(STATS)))
     return train(x, (got.column("__y").to_numpy() == 1).astype(float))
