@@ -38,7 +38,7 @@ SEED = 20_240
 SHARPNESS = 1.0
 ZIPF_SHIFT = 2.7
 BLANK = "▁"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, DECODE_ROWS = 3 << 19, 500
 _STEP, _SEGMENT = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
 
 
@@ -130,7 +130,8 @@ def lattice(segments: list[str], v: Vocabulary):
     out_n = np.concatenate([np.ones(n_piece, np.int64), sizes[which]])
     end = node[start] + span
     order = np.argsort(end, kind="stable")
-    return first, node[start][order], end[order], score[order], out_at[order], out_n[order], out_ids
+    slim = [x[order].astype(np.int32) for x in (node[start], end, out_at, out_n)]
+    return first, slim[0], slim[1], score[order], slim[2], slim[3], out_ids
 
 
 def forward(first: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -226,19 +227,17 @@ def encode(
     )
     text_at = names.index(text_col)
 
-    def encoded(b: pa.RecordBatch) -> pa.Table:
+    def encoded(b: pa.RecordBatch):
         v = vocabulary(model, sharpness)
         column = b.column(text_at)
         seeds = np.asarray(b.column(b.num_columns - 1), np.int64).view(np.uint64)
-        out = []
         for start, part in pieces(column, CHUNK_BYTES):
             ids, sizes = sample(part.to_pylist(), seeds[start : start + len(part)], v)
             ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
             empty = column.slice(start, len(part)).is_null()
             made = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()), mask=empty)
             rows_of = [c.slice(start, len(part)) for c in b.columns[:-1]]
-            out.append(pa.RecordBatch.from_arrays([*rows_of, made], [*safe, ids_col]))
-        return pa.Table.from_batches(out)
+            yield pa.RecordBatch.from_arrays([*rows_of, made], [*safe, ids_col])
 
     fields = [f"{s} {f.dataType.simpleString()}" for s, f in zip(safe, df.schema)]
     done = arrow_map(rows, encoded, ", ".join([*fields, f"`{ids_col}` array<int>"]))
@@ -254,13 +253,15 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_
     safe = [f"__c{i}" for i in range(len(names))]
     ids_at = names.index(ids_col)
 
-    def decoded(b: pa.RecordBatch) -> pa.RecordBatch:
+    def decoded(b: pa.RecordBatch):
         output = vocabulary(model, SHARPNESS).output
-        made = [
-            None if not ids.is_valid else b"".join(map(output.__getitem__, ids.values.to_numpy().tolist())).decode("utf-8")
-            for ids in b.column(ids_at)
-        ]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*safe, "__out"])
+        for start in range(0, b.num_rows, DECODE_ROWS):
+            some = b.slice(start, DECODE_ROWS)
+            made = [
+                b"".join(map(output.__getitem__, ids.values.to_numpy().tolist())).decode("utf-8") if ids.is_valid else None
+                for ids in some.column(ids_at)
+            ]
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(made, pa.string())], [*safe, "__out"])
 
     fields = [f"{s} {df.schema[n].dataType.simpleString()}" for s, n in zip(safe, names)]
     done = arrow_map(
