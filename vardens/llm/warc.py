@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import arrow_map
+from .common import arrow_map, bounded_map
 
 MIN_SHARED = 100
 FILE_ROWS = 2000
@@ -222,4 +222,4 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return files.mapInArrow(read, RECORDS)
+    return bounded_map(files, read, RECORDS)
