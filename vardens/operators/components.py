@@ -1,17 +1,21 @@
 """E3: connected components, labelled by the smallest node id of each component.
 
 Large-star / small-star rounds (Kiveris et al., 2014) over an undirected edge table
-``(a, b)`` with ``a < b``.  Every step is a ``groupBy(...).min`` (partially aggregated
-map-side, so a hub node costs nothing extra) and a join on the node.  Each round is cut
-with a reliable ``checkpoint()``, so lineage stays short and a lost executor only re-runs
-the current round.
-
-Before the rounds, each partition of the edge table is contracted on its own
-(``_local_roots``): min-label hooking with pointer jumping over that partition's edges,
-emitting ``(local root, node)``.  This keeps the components and turns long chains that
-fall inside one partition into stars, so the global rounds only merge across partitions.
-Callers that can should range-partition edges by locality first (``locality`` columns).  The driver sees one boolean per round: whether the edges already
-form stars around their minimum (then every leaf's label is its star centre).
+``(a, b)`` with ``a < b``.  A round takes, for every node, the smallest neighbour (a
+``groupBy(...).min``, partially aggregated map-side) and joins it back to the node's
+edges.  A giant component soon is one hub that holds its whole edge list: the edges of
+nodes with more than ``hub_rows`` edges are spread over salts and the node's one row is
+repeated per salt, so a hub is never one task.  Rounds go on until the edges are stars
+around their smallest node (the fixpoint; every round shortens paths, so it is reached in
+logarithmically many rounds), and each round is cut with a reliable checkpoint, so lineage
+stays short and a lost executor only re-runs the current round.
+
+Before the rounds, edges are contracted locally (``_local_roots``): min-label hooking with
+pointer jumping over runs of at most ``LOCAL_EDGES`` edges, emitting ``(local root,
+node)``.  This keeps the components, bounds a task's memory, and turns long chains that
+fall inside one run into stars, so the global rounds only merge across runs.  Callers that
+can should range-partition edges by locality first (``locality`` columns).  The driver
+sees one boolean per round: whether the edges already form stars.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .skew import DEFAULT_HOT_ROWS, find_hot_keys
+
+# Edges that one local contraction holds in memory (a few tens of MB).
+LOCAL_EDGES = 1_000_000
 
 
 def _normalise(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -38,18 +46,27 @@ def _both_ways(e: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    d = _both_ways(e)
-    m = d.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("mv", "u").alias("m"))
-    out = d.filter(F.col("v") > F.col("u")).join(m, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+def _with_smallest(d: DataFrame, hub_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Directed edges ``(u, v)`` joined with the smallest ``v`` of their ``u`` (``mv``), the
+    edges of hubs over several tasks; and the table ``(u, mv)``."""
+    m = checkpoint(d.groupBy("u").agg(F.min("v").alias("mv"), F.count(F.lit(1)).alias("n")))
+    hubs = find_hot_keys(m, ["u"], "n", hub_rows)
+    m = m.select("u", "mv")
+    if hubs.n_hot == 0:
+        return d.join(m, "u"), m
+    return hubs.salt_rows(d, "v").join(hubs.expand(m), ["u", "salt"]).drop("salt"), m
+
+
+def _large_star(e: DataFrame, hub_rows: int) -> DataFrame:
+    joined, _ = _with_smallest(_both_ways(e), hub_rows)
+    out = joined.filter(F.col("v") > F.col("u")).select(F.least("mv", "u").alias("a"), F.col("v").alias("b"))
     return _normalise(out, "a", "b")
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    d = _both_ways(e).filter(F.col("v") < F.col("u"))
-    m = d.groupBy("u").agg(F.min("v").alias("m"))
-    spokes = d.join(m, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    centre = m.select(F.col("m").alias("a"), F.col("u").alias("b"))
+def _small_star(e: DataFrame, hub_rows: int) -> DataFrame:
+    joined, m = _with_smallest(_both_ways(e).filter(F.col("v") < F.col("u")), hub_rows)
+    spokes = joined.select(F.col("mv").alias("a"), F.col("v").alias("b"))
+    centre = m.select(F.col("mv").alias("a"), F.col("u").alias("b"))
     return _normalise(spokes.unionByName(centre), "a", "b")
 
 
@@ -66,12 +83,8 @@ def _is_star_forest(e: DataFrame) -> bool:
     return bad.isEmpty()
 
 
-def _local_roots(batches):
-    """Per partition: connect every node to the smallest node of its local component."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    e = pd.concat(frames, ignore_index=True)
+def _contract(e: pd.DataFrame) -> pd.DataFrame:
+    """Star edges ``(a = root, b = node)`` of the components of an edge list."""
     a = e["a"].to_numpy(np.int64)
     b = e["b"].to_numpy(np.int64)
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -92,15 +105,36 @@ def _local_roots(batches):
         lab = new
     roots = nodes[lab]
     keep = roots != nodes
-    yield pd.DataFrame({"a": roots[keep], "b": nodes[keep]})
+    return pd.DataFrame({"a": roots[keep], "b": nodes[keep]})
+
+
+def _local_roots(batches):
+    """Connect every node to the smallest node of its component within a run of edges.
+
+    A run's stars stay in memory for the next batches while they are few, and are emitted
+    when they outgrow half of ``LOCAL_EDGES``.
+    """
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= LOCAL_EDGES:
+            stars = _contract(pd.concat(held, ignore_index=True))
+            held, size = [stars], len(stars)
+            if size > LOCAL_EDGES // 2:
+                yield stars
+                held, size = [], 0
+    if size:
+        yield _contract(pd.concat(held, ignore_index=True))
 
 
 def component_edges(
     edges: DataFrame,
     src: str = "src",
     dst: str = "dst",
-    max_rounds: int = 200,
     locality: list[str] | None = None,
+    hub_rows: int = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """Star edges ``(a = component minimum, b = other node)`` of the graph ``edges``."""
     e = edges
@@ -109,11 +143,9 @@ def component_edges(
     e = e.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
     e = e.mapInPandas(_local_roots, "a long, b long")
     e = checkpoint(_normalise(e, "a", "b"))
-    for _ in range(max_rounds):
-        if _is_star_forest(e):
-            return e
-        e = checkpoint(_small_star(_large_star(e)))
-    raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
+    while not _is_star_forest(e):
+        e = checkpoint(_small_star(checkpoint(_large_star(e, hub_rows)), hub_rows))
+    return e
 
 
 def connected_components(
@@ -123,12 +155,13 @@ def connected_components(
     src: str = "src",
     dst: str = "dst",
     locality: list[str] | None = None,
+    hub_rows: int = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """``(id, cluster_id)``: every node of ``nodes`` with the smallest id of its component.
 
     Edge ends missing from ``nodes`` are ignored; isolated nodes are their own component.
     """
-    stars = component_edges(edges, src, dst, locality=locality)
+    stars = component_edges(edges, src, dst, locality=locality, hub_rows=hub_rows)
     leaf = stars.select(F.col("b").alias(id_col), F.col("a").alias("cluster_id"))
     return nodes.select(id_col).join(leaf, id_col, "left").select(
         id_col, F.coalesce("cluster_id", id_col).alias("cluster_id")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import check_eps
+from ..functions.geometry import finite
 from .neighbours import knn, neighbour_counts
 
 
@@ -27,7 +28,7 @@ def k_distance(points: DataFrame, k: int, knn_table: DataFrame | None = None) ->
 
 def _kth_values(df: DataFrame, col: str, ranks: list[int], buckets: int = 4096) -> dict[int, float]:
     """Exact ``rank``-th smallest values (0-based) of ``col`` (non-null), by bucket narrowing."""
-    v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    v = df.select(F.col(col).cast("double").alias("v")).filter(finite("v"))
     st = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     state = {r: (st["lo"], st["hi"], 0) for r in ranks}  # interval, rows below it
     found: dict[int, float] = {}
@@ -43,8 +44,12 @@ def _kth_values(df: DataFrame, col: str, ranks: list[int], buckets: int = 4096)
         parts = []
         for idx, r in enumerate(todo):
             lo, hi, _ = state[r]
-            width = (hi - lo) / buckets
-            b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+            width = hi / buckets - lo / buckets  # hi - lo itself may overflow
+            if width > 0:
+                at = F.floor((F.col("v") / 2 - lo / 2) / (width / 2))
+                b = F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1)).cast("int")
+            else:
+                b = F.lit(0)
             parts.append(
                 v.filter((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))).select(
                     F.lit(idx).alias("t"), b.alias("b"), "v"
@@ -62,17 +67,23 @@ def _kth_values(df: DataFrame, col: str, ranks: list[int], buckets: int = 4096)
             for x in mine:
                 if r < acc + x["n"]:
                     state[r] = (x["mn"], x["mx"], acc)
+                    if (x["mn"], x["mx"]) == (lo, hi):  # too narrow or too wide to divide: leave out its least value
+                        least = v.agg(
+                            F.sum((F.col("v") == lo).cast("long")).alias("n"), F.min(F.when(F.col("v") > lo, F.col("v"))).alias("next")
+                        ).first()
+                        state[r] = (lo, lo, acc) if r < acc + least["n"] else (least["next"], hi, acc + least["n"])
                     break
                 acc += x["n"]
     return found
 
 
 def exact_quantiles(df: DataFrame, col: str, quantiles: list[float], buckets: int = 4096) -> list[float | None]:
-    """Exact continuous quantiles of ``col`` (NULL/NaN ignored); None when empty."""
+    """Exact continuous quantiles of the finite values of ``col`` (NULL, NaN and infinite
+    ones are left out); None when there is none."""
     for q in quantiles:
         if not (0 <= q <= 1):
             raise ValueError(f"quantile {q} not in [0, 1]")
-    n = df.select(col).filter(F.col(col).isNotNull() & ~F.isnan(col)).count()
+    n = df.select(F.col(col).cast("double").alias("v")).filter(finite("v")).count()
     if n == 0:
         return [None] * len(quantiles)
     pos = [(n - 1) * q for q in quantiles]

@@ -24,7 +24,7 @@ over several tasks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,6 +94,10 @@ class Grid:
     def probe_hot(self) -> HotKeys:
         return self.phot or self.hot
 
+    def without_probe_salts(self) -> "Grid":
+        """The same grid for probes that stand in no hot cell: targets are not repeated."""
+        return replace(self, phot=HotKeys(self.hot.keys, self.hot.table, 0, self.hot.max_broadcast_rows), _nb=None)
+
     def neighbour_offsets(self, forward_only: bool = False):
         return offsets(self.d, self.k, forward_only)
 
@@ -148,12 +152,25 @@ class Grid:
         return sqdist([f"{p}{x}" for x in self.cols], [f"{q}{x}" for x in self.cols])
 
 
+# Cells from the origin up to which ``floor(x / side)`` keeps the slack of a cell side
+# under rounding; farther out a cell could not be trusted to hold neighbours only.
+MAX_CELLS = 1 << 22
+
+
+def check_extent(valid: DataFrame, cols: list[str], side: float) -> None:
+    """One aggregate over the points, before any join: no coordinate is too far out."""
+    far = valid.agg(F.max(F.greatest(*[F.abs(c) for c in cols]) if len(cols) > 1 else F.abs(cols[0]))).first()[0]
+    if far is not None and far / side > MAX_CELLS:
+        raise ValueError(f"coordinates up to {far:g} are too far out for radius cells of side {side:g}; shift or scale them")
+
+
 def build_grid(
     points: DataFrame,
     radius: float,
     side: float | None = None,
     hot_rows: int = DEFAULT_HOT_ROWS,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    check: bool = True,
 ) -> Grid:
     """Grid the valid points; cells of ``side`` (default: contraction side of ``radius``)."""
     radius = check_eps(radius)
@@ -161,7 +178,11 @@ def build_grid(
     d = len(cols)
     side = side or contraction_side(radius, d)
     cells = cell_names(d)
+    if d > 3:
+        raise ValueError("a grid takes 1 to 3 coordinate columns; pass more dimensions as an array column")
     pts = with_valid(points, cols)
+    if check:
+        check_extent(pts.filter(F.col("valid")), cols, side)
     v = pts.filter(F.col("valid")).select("id", *cols, *cell_exprs(cols, side, cells))
     counts = v.groupBy(*cells).agg(F.count(F.lit(1)).alias("n"))
     hot = find_hot_keys(counts, cells, "n", hot_rows, max_broadcast_rows)
@@ -183,7 +204,7 @@ def contracted_roles(g: Grid, min_pts: int) -> DataFrame:
     from .neighbours import count_within
 
     sparse = p.filter(F.col("n") < min_pts)
-    counted = count_within(g, sparse, [g.radius]).select("id", F.col("n0").alias("n_eps"))
+    counted = count_within(g.without_probe_salts(), sparse, [g.radius]).select("id", F.col("n0").alias("n_eps"))
     sparse_roles = sparse.join(counted, "id").select(
         "id", *g.cols, *g.cells, "salt", (F.col("n_eps") >= min_pts).alias("core"), "n_eps"
     )
@@ -248,12 +269,15 @@ REFINE_LEVELS = 3
 REFINE_MIN_WORK = 4096
 
 
-def cluster_roles(g: Grid, roles: DataFrame, refine_levels: int = REFINE_LEVELS) -> DataFrame:
+def cluster_roles(
+    g: Grid, roles: DataFrame, refine_levels: int = REFINE_LEVELS, sparse_noncores: bool = False
+) -> DataFrame:
     """Clusters from core flags: ``id, role, cluster_id`` for the valid points.
 
     ``roles`` has ``id, x.., c.., salt, core``.  cluster_id = smallest core id of the
     component; a border point takes the cluster of its nearest core (ties: smaller core
-    id); a point with no core within eps is noise (-1).
+    id); a point with no core within eps is noise (-1).  ``sparse_noncores``: no point
+    that is not core stands in a hot cell (so in DBSCAN, whose hot cells are all core).
     """
     roles = checkpoint(roles.select("id", *g.cols, *g.cells, "salt", "core"))
     cores = roles.filter(F.col("core"))
@@ -385,7 +409,7 @@ def cluster_roles(g: Grid, roles: DataFrame, refine_levels: int = REFINE_LEVELS)
 
     core_out = cores_l.select("id", F.lit("core").alias("role"), F.col("cluster_id").cast("long"))
     noncore = roles.filter(~F.col("core"))
-    best = nearest_core(g, noncore, cores_l, m)
+    best = nearest_core(g.without_probe_salts() if sparse_noncores else g, noncore, cores_l, m)
     other_out = best.select(
         F.col("pid").alias("id"),
         F.when(F.col("b").isNull(), F.lit("noise")).otherwise(F.lit("border")).alias("role"),

@@ -77,9 +77,9 @@ def neighbour_counts(
     points is compared point by point.  A larger cell is summarised per sub-cell (count +
     bounding box): the probe adds a sub-cell's whole count when the box's farthest corner
     is within the radius, skips it when the nearest corner is beyond, and compares point
-    by point only inside sub-cells that straddle the radius.  So work per point is
-    bounded by the grid, not by how many points pile up in a cell, and duplicates never
-    produce pairs.  Probe and target sides are both salted by hot cell.
+    by point only inside sub-cells that straddle the radius.  Whole sub-cells cost the
+    same however many points pile up in them; what remains is the share of points in
+    straddling sub-cells, which does grow with density.  Probe and target sides are both salted by hot cell.
     """
     radii = [check_eps(r, "radius") for r in radii]
     g = build_grid(points, max(radii), hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows)
@@ -169,7 +169,7 @@ def count_within(
 
 def _knn_round(v: DataFrame, probes: DataFrame, r: float, k: int, hot_rows, max_broadcast_rows, final: bool):
     """Candidates within r of the probing points, and the probes that still lack k."""
-    g = build_grid(v, r, hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows)
+    g = build_grid(v, r, hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows, check=False)
     pr = probes.select("id", *g.cols, *[F.floor(F.col(x) / F.lit(g.side)).cast("long").alias(c) for x, c in zip(g.cols, g.cells)])
     pr = g.probe(pr)
     need = pr.select(*g.tcells).distinct()
@@ -230,7 +230,7 @@ def knn(
         vol *= max(st[f"hi{i}"] - st[f"lo{i}"], 1e-12)
     r_glob = max((vol * k / st["n"]) ** (1.0 / d), 1e-9)
     # per-point start level from the occupancy of a coarse cell (side ~ global estimate)
-    g0 = build_grid(v, r_glob, hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows)
+    g0 = build_grid(v, r_glob, hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows, check=False)
     r_min = r_glob / 8.0
     est = F.lit(g0.side) * F.pow(F.lit(float(k + 1)) / F.col("n"), F.lit(1.0 / d))
     level = F.greatest(F.lit(0), F.ceil(F.log(float(GROWTH), est / F.lit(r_min)))).cast("int")

@@ -93,20 +93,21 @@ def dbscan_sql(points_sql: str, eps: float, min_pts: int, cols=("x0", "x1")) ->
 
 # --------------------------------------------------------------------------- text
 
-TOKEN_PATTERN = "[a-zà-ÿß]+"
+TOKEN_PATTERN = r"[\p{L}\p{M}]+"
 
 
-def text_ctes(min_df: int = 2, max_df: int = 200) -> str:
+def text_ctes(min_df: int = 1, max_df: int | None = None) -> str:
     """CTEs ``tok, tf, dfa, vocab, ndoc, raw, wt(id, term, weight)`` over ``documents``."""
     return f"""tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN_PATTERN}')) AS term
         FROM documents),
 tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY id, term),
 dfa AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-vocab AS (SELECT term, df FROM dfa WHERE df >= {min_df} AND df <= {max_df}),
+vocab AS (SELECT term, df FROM dfa WHERE df >= {min_df}{'' if max_df is None else f' AND df <= {max_df}'}),
 ndoc AS (SELECT count(*) AS n FROM documents),
 raw AS (SELECT tf.id, tf.term, tf.tf::DOUBLE * ln((ndoc.n + 1)::DOUBLE / (vocab.df + 1)::DOUBLE) AS w
         FROM tf JOIN vocab ON tf.term = vocab.term CROSS JOIN ndoc),
-wt AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw)"""
+wt AS (SELECT id, term, CASE WHEN q > 0 THEN w / sqrt(q) ELSE 0.0 END AS weight
+        FROM (SELECT *, sum(w * w) OVER (PARTITION BY id) AS q FROM raw))"""
 
 
 def sims_cte(name: str, min_sim: float) -> str:
@@ -115,9 +116,9 @@ def sims_cte(name: str, min_sim: float) -> str:
   HAVING sum(a.weight * b.weight) >= {lit(min_sim)})"""
 
 
-def text_cluster_ctes(min_sim: float, min_pts: int, min_df: int = 2, max_df: int = 200) -> str:
+def text_cluster_ctes(min_sim: float, min_pts: int) -> str:
     """Text CTEs plus ``sims, docs, tcnt, tcore, tcedge, tcc, tborder, tassign``."""
-    return f"""{text_ctes(min_df, max_df)},
+    return f"""{text_ctes()},
 {sims_cte('sims', min_sim)},
 docs AS (SELECT doc_id AS id, doc_id IN (SELECT id FROM wt) AS valid FROM documents),
 tcnt AS (SELECT d.id, 1 + count(s.dst) AS n FROM docs d LEFT JOIN sims s ON s.src = d.id WHERE d.valid GROUP BY d.id),

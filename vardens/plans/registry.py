@@ -47,9 +47,35 @@ def q_dbscan(spark, sf_dir):
     return dbscan(event_points(spark, sf_dir), DBSCAN_EPS, DBSCAN_MIN_PTS)
 
 
+EMB_EPS, EMB_MIN_PTS = 1.1672, 5
+
+
+@register(
+    "dbscan_embeddings",
+    f"""WITH RECURSIVE v AS ({O.EMB_SQL}),
+pairs AS (SELECT a.id AS src, b.id AS dst, {O.emb_d2()} AS d2 FROM v a JOIN v b ON a.id <> b.id),
+near AS (SELECT * FROM pairs WHERE d2 <= {O.lit(EMB_EPS)} * {O.lit(EMB_EPS)}),
+cnt AS (SELECT v.id, 1 + count(n.dst) AS n FROM v LEFT JOIN near n ON n.src = v.id GROUP BY v.id),
+core AS (SELECT id FROM cnt WHERE n >= {EMB_MIN_PTS}),
+cedge AS (SELECT n.src AS a, n.dst AS b FROM near n JOIN core c ON n.src = c.id JOIN core e ON n.dst = e.id),
+{O.cc_sql('cc', 'core', 'cedge')},
+border AS (SELECT id, comp FROM (
+  SELECT n.src AS id, c.comp, row_number() OVER (PARTITION BY n.src ORDER BY n.d2, n.dst) AS rn
+  FROM near n JOIN cc c ON n.dst = c.id WHERE n.src NOT IN (SELECT id FROM core)) t WHERE rn = 1)
+SELECT v.id, CASE WHEN c.id IS NOT NULL THEN 'core' WHEN b.id IS NOT NULL THEN 'border' ELSE 'noise' END AS role,
+  CAST(coalesce(c.comp, b.comp, -1) AS BIGINT) AS cluster_id
+FROM v LEFT JOIN cc c ON v.id = c.id LEFT JOIN border b ON v.id = b.id""",
+)
+def q_dbscan_embeddings(spark, sf_dir):
+    from ..operators.cluster import dbscan
+    from ..sources.tables import embedding_points
+
+    return dbscan(embedding_points(spark, sf_dir), EMB_EPS, EMB_MIN_PTS)
+
+
 # --------------------------------------------------------------------------- text (F, C4)
 
-MIN_DF, MAX_DF = 2, 200
+MIN_DF, MAX_DF = 2, 200  # the range is what document_frequency_documents reports
 TEXT_SIM, TEXT_MIN_PTS = 0.3, 3
 COPY_SIM = 0.8
 TOP_TERMS = 5
@@ -64,7 +90,7 @@ def _docs(spark, sf_dir):
 def _weights(spark, sf_dir):
     from ..operators.text import text_weights
 
-    return text_weights(_docs(spark, sf_dir), MIN_DF, MAX_DF)
+    return text_weights(_docs(spark, sf_dir))
 
 
 @register("tokenise_documents", f"WITH {O.text_ctes()} SELECT id, term FROM tok")
@@ -88,7 +114,7 @@ def q_df(spark, sf_dir):
     return document_frequency(term_frequency(tokenise(_docs(spark, sf_dir))), MIN_DF, MAX_DF)
 
 
-@register("tfidf_documents", f"WITH {O.text_ctes(MIN_DF, MAX_DF)} SELECT id, term, round(weight, 6) AS weight FROM wt")
+@register("tfidf_documents", f"WITH {O.text_ctes()} SELECT id, term, round(weight, 6) AS weight FROM wt")
 def q_tfidf(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -97,7 +123,7 @@ def q_tfidf(spark, sf_dir):
 
 @register(
     "cosine_join_documents",
-    f"WITH {O.text_ctes(MIN_DF, MAX_DF)}, {O.sims_cte('sims', TEXT_SIM)} SELECT src, dst, round(sim, 6) AS sim FROM sims",
+    f"WITH {O.text_ctes()}, {O.sims_cte('sims', TEXT_SIM)} SELECT src, dst, round(sim, 6) AS sim FROM sims",
 )
 def q_cosine(spark, sf_dir):
     from pyspark.sql import functions as F
@@ -109,17 +135,17 @@ def q_cosine(spark, sf_dir):
 
 @register(
     "text_cluster_documents",
-    f"WITH RECURSIVE {O.text_cluster_ctes(TEXT_SIM, TEXT_MIN_PTS, MIN_DF, MAX_DF)} SELECT * FROM tassign",
+    f"WITH RECURSIVE {O.text_cluster_ctes(TEXT_SIM, TEXT_MIN_PTS)} SELECT * FROM tassign",
 )
 def q_text_cluster(spark, sf_dir):
     from ..operators.text import text_cluster
 
-    return text_cluster(_docs(spark, sf_dir), TEXT_SIM, TEXT_MIN_PTS, MIN_DF, MAX_DF)
+    return text_cluster(_docs(spark, sf_dir), TEXT_SIM, TEXT_MIN_PTS)
 
 
 @register(
     "cluster_terms_documents",
-    f"""WITH RECURSIVE {O.text_cluster_ctes(TEXT_SIM, TEXT_MIN_PTS, MIN_DF, MAX_DF)},
+    f"""WITH RECURSIVE {O.text_cluster_ctes(TEXT_SIM, TEXT_MIN_PTS)},
 members AS (SELECT id, cluster_id FROM tassign WHERE cluster_id >= 0),
 csize AS (SELECT cluster_id, count(*) AS size FROM members GROUP BY cluster_id),
 tot AS (SELECT m.cluster_id, w.term, sum(w.weight) AS total FROM wt w JOIN members m ON w.id = m.id GROUP BY 1, 2),
@@ -142,7 +168,7 @@ def q_cluster_terms(spark, sf_dir):
 
 @register(
     "near_copies_documents",
-    f"""WITH RECURSIVE {O.text_ctes(MIN_DF, MAX_DF)}, {O.sims_cte('sims', COPY_SIM)},
+    f"""WITH RECURSIVE {O.text_ctes()}, {O.sims_cte('sims', COPY_SIM)},
 alld AS (SELECT doc_id AS id FROM documents),
 {O.cc_sql('ncc', 'alld', '(SELECT src AS a, dst AS b FROM sims)')}
 SELECT id, comp AS group_id FROM ncc""",
@@ -150,7 +176,7 @@ SELECT id, comp AS group_id FROM ncc""",
 def q_near_copies(spark, sf_dir):
     from ..operators.text import near_copies
 
-    return near_copies(_docs(spark, sf_dir), COPY_SIM, MIN_DF, MAX_DF)
+    return near_copies(_docs(spark, sf_dir), COPY_SIM)
 
 
 # --------------------------------------------------------------------------- sources (A)
@@ -253,7 +279,6 @@ def q_l2(spark, sf_dir):
 
 # --------------------------------------------------------------------------- neighbours (C)
 
-EMB_EPS = 1.1672
 KNN_K, KNN_BOX = 4, 2.0
 LEVEL_QUANTILES = [0.25, 0.5, 0.9]
 RATIO_ETA, RATIO_TAU = 0.4, 0.3
@@ -532,7 +557,7 @@ def q_summary(spark, sf_dir):
     return cluster_summary(dbscan(_events(spark, sf_dir), DBSCAN_EPS, DBSCAN_MIN_PTS))
 
 
-_CONT = f"""WITH RECURSIVE {O.text_cluster_ctes(TEXT_SIM, TEXT_MIN_PTS, MIN_DF, MAX_DF)},
+_CONT = f"""WITH RECURSIVE {O.text_cluster_ctes(TEXT_SIM, TEXT_MIN_PTS)},
 cont AS (SELECT a.cluster_id, d.lang AS label, count(*) AS n FROM tassign a JOIN documents d ON a.id = d.doc_id
   WHERE a.cluster_id IS NOT NULL AND d.lang IS NOT NULL GROUP BY 1, 2)"""
 
@@ -544,7 +569,7 @@ def _contingency(spark, sf_dir):
     from ..operators.text import text_cluster
     from ..sources.tables import table
 
-    a = text_cluster(_docs(spark, sf_dir), TEXT_SIM, TEXT_MIN_PTS, MIN_DF, MAX_DF)
+    a = text_cluster(_docs(spark, sf_dir), TEXT_SIM, TEXT_MIN_PTS)
     labels = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
     from ..session import checkpoint
 
