@@ -97,3 +97,44 @@ def words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         known = np.arange(len(coded.dictionary)) != blank
         return coded.dictionary.filter(pa.array(known)), codes, rows
     return coded.dictionary, codes, rows
+
+
+_FNV_START, _FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)  # fixed values of FNV-1a
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(distinct: pa.Array) -> np.ndarray:
+    """64-bit hashes of a null-free string column (FNV-1a, mixed), byte by byte of all
+    words at once."""
+    data, start, size = _bytes_of(distinct)
+    h = np.full(len(start), _FNV_START)
+    at = np.flatnonzero(size)
+    k = 0
+    while len(at):
+        h[at] = (h[at] ^ data[start[at] + k]) * _FNV_PRIME
+        k += 1
+        at = at[size[at] > k]
+    return _mixed(h)
+
+
+def ending_hashes(distinct: pa.Array, n: int = 3) -> np.ndarray:
+    """64-bit hashes of the last ``n`` bytes of each word."""
+    data, start, size = _bytes_of(distinct)
+    h = np.full(len(start), _FNV_START)
+    for k in range(1, n + 1):
+        at = np.flatnonzero(size >= k)
+        h[at] = (h[at] ^ data[start[at] + size[at] - k]) * _FNV_PRIME
+    return _mixed(h)
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    return raw, ends[:-1], np.diff(ends)
