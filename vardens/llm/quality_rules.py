@@ -10,8 +10,9 @@ documents rejected as well.
 Work: one pass over the texts inside Arrow batches; its row of numbers per document is
 written once.  Host sums are combined map-side, so a host with a third of all rows costs
 a task one row; the driver sees one row (the prior).  Verdicts go back in an equi-join
-on the host, where a hot host's documents are spread over ``salts`` and the host table
-is repeated once per salt.
+on the host: up to ``MAX_BROADCAST_HOSTS`` hosts are broadcast and no document moves;
+beyond that a hot host's documents are spread over ``salts`` and the host table is
+repeated once per salt.
 
 Defined cases: a null text has no words and fails; a null host is a host of its own; an
 empty table gives an empty result; repeated rows each count and each get a row.
@@ -32,7 +33,7 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 HOST_LIMIT = 0.5
 MAX_STRENGTH = 1e6
-SALTS = 16
+SALTS, MAX_BROADCAST_HOSTS = 16, 200_000
 SYMBOLS = "#*$%&|<>"
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -105,9 +106,10 @@ def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT
 
 
 def host_rates(judged: DataFrame, host: str, failed: str, max_strength: float = MAX_STRENGTH) -> DataFrame:
-    """``(host, n_docs, n_failed, host_rate)``: rates shrunk by the fitted beta prior."""
-    hosts = judged.groupBy(host).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed")
+    """``(host, n_docs, n_failed, host_rate)``: rates shrunk by the fitted beta prior; a
+    written table of one row per host."""
+    hosts = checkpoint(
+        judged.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     )
     total = hosts.agg(
         F.sum("n_docs"), F.sum("n_failed"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs"))
@@ -133,18 +135,18 @@ def judge_documents(
     """``keep`` columns, ``STATS``, ``base_failed``, ``host_rate``, ``kept`` of every row."""
     keep = keep if keep is not None else ["doc_id"]
     cols = [F.col(c) for c in keep] + [F.col(host_col).alias("__host"), F.col(text_col).alias("__body")]
-    judged = document_stats(docs.select(*cols), [*keep, "__host"], "__body")
-    judged = checkpoint(judged.withColumn("base_failed", base_failed()))
-    rates = host_rates(judged, "__host", "base_failed").select("__host", "host_rate")
-    rates = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = judged.withColumn("__salt", F.pmod(F.xxhash64(*keep, *STATS), F.lit(salts)).cast("int")).alias("d")
-    out = left.join(
-        rates.alias("h"),
-        F.col("d.__host").eqNullSafe(F.col("h.__host")) & (F.col("d.__salt") == F.col("h.__salt")),
-        "left",
-    )
+    judged = document_stats(docs.select(*cols), [*keep, "__host"], "__body").withColumn("base_failed", base_failed())
+    if keep == ["doc_id"]:
+        judged = checkpoint(judged)  # a few numbers per row; whole rows are judged twice instead of written
+    rates = host_rates(judged, "__host", "base_failed").select(F.col("__host").alias("__of"), "host_rate")
+    if rates.count() <= MAX_BROADCAST_HOSTS:
+        out = judged.join(F.broadcast(rates), F.col("__host").eqNullSafe(F.col("__of")), "left")
+    else:
+        rates = rates.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        left = judged.withColumn("__salt", F.pmod(F.xxhash64(*keep, *STATS), F.lit(salts)).cast("int"))
+        out = left.join(rates, F.col("__host").eqNullSafe(F.col("__of")) & (F.col("__salt") == F.col("__at")), "left")
     return out.select(
-        *[f"d.`{c}`" for c in keep], *STATS, "base_failed", "host_rate",
+        *keep, *STATS, "base_failed", "host_rate",
         (~F.col("base_failed") & (F.col("host_rate") <= F.lit(host_limit))).alias("kept"),
     )
 
