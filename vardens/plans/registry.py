@@ -76,7 +76,7 @@ def q_dbscan_embeddings(spark, sf_dir):
 # --------------------------------------------------------------------------- text (F, C4)
 
 MIN_DF, MAX_DF = 2, 200  # the range is what document_frequency_documents reports
-TEXT_SIM, TEXT_MIN_PTS = 0.3, 3
+TEXT_SIM, TEXT_MIN_PTS = 0.5, 3
 COPY_SIM = 0.8
 TOP_TERMS = 5
 
