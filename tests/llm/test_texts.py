@@ -263,6 +263,23 @@ def test_blocks_of_a_page():
         html_blocks.parse(odd)
 
 
+def test_unclosed_unread_elements_hide_no_blocks():
+    texts = lambda page: [b.text for b in html_blocks.parse(page)]
+    for page in (
+        "<html><head><title>T</title><meta a=b><body><p>One</p><p>Two</p></body></html>",
+        "<html><head><title>T</title><p>One<p>Two",
+        "<head><title>T<body><p>One</p><div>Two</div>",
+        "<head><title>T</title>One<p>Two</p>",
+        "<head><title>T</title><a href=x>One</a><p>Two</p>",
+        "<head><template><div>no</div></template><noscript><p>no</noscript><body>One<p>Two",
+    ):
+        assert texts(page) == ["One", "Two"], page
+    for name in ("object", "canvas", "video", "noscript", "audio", "svg", "iframe", "template"):
+        assert texts(f"<body><div>One<{name} a=b><p>Two</p><p>Three</p></div><p>Four</p>") == ["One", "Two", "Three", "Four"], name
+        assert texts(f"<body><p>One</p><{name}><p>no<div>no</div></{name}><p>Two</p>") == ["One", "Two"], name
+        assert texts(f"<{name}><p>One</p><{name}><p>no</p></{name}><p>Two</p>") == ["One", "Two"], name
+
+
 def test_gradients_of_the_lstm():
     """Numerical against back-propagated slopes of a small network's loss."""
     rng = np.random.default_rng(0)

@@ -17,7 +17,8 @@ Inference is one Arrow pass over the pages; the weights (a few ten thousand floa
 with the tasks.  Pages are batched by length and stepped together.
 
 Defined cases: a null or empty page, or one without blocks, has empty text; unclosed or
-stray tags are tolerated; very long pages are read whole; a table without any text to
+stray tags are tolerated (a head without its end tag ends at the first tag or text that is
+not a head's, another unread element without one at the next block); very long pages are read whole; a table without any text to
 learn from keeps every block; repeated rows each get a row; other columns are ignored.
 """
 
@@ -46,7 +47,10 @@ BLOCKS = frozenset(
     "summary table tbody td textarea tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("head script style noscript template svg iframe object canvas audio video".split())
+UNREAD = frozenset("head title script style noscript template svg iframe object canvas audio video".split())
+#: Start tags that leave an open head open; any other ends it.
+HEADED = frozenset("html head title base basefont bgsound link meta script style noscript template".split())
+HIDING = re.compile(r"<(?:title|noscript|template|svg|iframe|object|canvas|audio|video)\b", re.I)
 #: Start tags that end an open element of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 TOKEN = re.compile(
@@ -76,10 +80,36 @@ class Block:
     truth: int  # 1 text, 0 boilerplate, -1 not marked (training pages only)
 
 
+def _ended(page: str) -> set[int]:
+    """Places of the unread elements that have an end tag of their own inside their parent."""
+    found: set[int] = set()
+    if not HIDING.search(page):
+        return found
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
+    for m in TOKEN.finditer(page):
+        name = (m[3] or "").lower()
+        if not (name in BLOCKS or name in UNREAD) or name in VOID:
+            continue
+        if not m[2]:
+            if not m[4].endswith("/"):
+                stack.append((name, m.start()))
+                opened[name] = opened.get(name, 0) + 1
+        elif opened.get(name):
+            last = None
+            while last != name:
+                last, at = stack.pop()
+                opened[last] -= 1
+            if name in UNREAD:
+                found.add(at)
+    return found
+
+
 def parse(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], int]] = []
+    stack: list[tuple[str, tuple[str, ...], int, bool]] = []  # the last: unread with an end tag of its own
+    ended = _ended(page)
     parts: list[str] = []
     links = unread = in_link = 0
 
@@ -87,19 +117,34 @@ def parse(page: str) -> list[Block]:
         nonlocal parts, links
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            path = tuple(w for _, words, _ in stack for w in words)
+            path = tuple(w for _, words, _, _ in stack for w in words)
             blocks.append(Block(text, path, links, stack[-1][2] if stack else -1))
         parts, links = [], 0
 
     def close(upto: int) -> None:
         nonlocal unread, in_link
         while len(stack) > upto:
-            name, _, _ = stack.pop()
+            name, _, _, _ = stack.pop()
             unread -= name in UNREAD
             in_link -= name == "a"
 
+    def release(name: str) -> None:
+        """Close the unread elements that a start tag ends: a head by all that is not its own,
+        one without an end tag by the next block."""
+        end = -1
+        for k in range(len(stack) - 1, -1, -1):
+            tag, _, _, whole = stack[k]
+            if tag in UNREAD:
+                if name in HEADED if tag == "head" else whole or name not in BLOCKS or name == "br":
+                    break
+                end = k
+        if end >= 0:
+            close(end)
+
     def heard(text: str) -> None:
         nonlocal links
+        if unread and stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not unread:
             parts.append(text)
             if in_link:
@@ -117,11 +162,13 @@ def parse(page: str) -> list[Block]:
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if not (name in BLOCKS) and any(s[0] in BLOCKS for s in stack[k + 1 :]):
+                    if not (name in BLOCKS or name in UNREAD) and any(s[0] in BLOCKS for s in stack[k + 1 :]):
                         break  # a stray inline end tag closes no block
                     close(k)
                     break
             continue
+        if unread:
+            release(name)
         if name in CLOSES:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CLOSES[name]:
@@ -134,7 +181,7 @@ def parse(page: str) -> list[Block]:
         words = (name, *(w for found in NAMES.findall(m[4]) for w in PARTS.findall(found.lower())))
         inherited = stack[-1][2] if stack else -1
         truth = 1 if "data-main" in m[4] else 0 if "data-clutter" in m[4] else inherited
-        stack.append((name, words, truth))
+        stack.append((name, words, truth, m.start() in ended))
         unread += name in UNREAD
         in_link += name == "a"
     heard(page[at:])
