@@ -114,6 +114,24 @@ def test_reparameterised_items_are_found(spark):
     assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {3, 4, 5, 6, 7}
 
 
+def test_items_of_slots_recased_copies_and_parts_of_long_items_are_found(spark):
+    sums = "What is 12 times 7?"
+    table = "7 12 19 4 88 3 21 5 60 41 2 9 and 33 17"
+    names = "Ask Tom Smith, Ann Brown, Joe Blow, Mary Poppins, Max Power, Jane Doe and Jim Beam if they come home late"
+    long = " ".join(f"part{i}x goes on" for i in range(60)).replace("part", "p").replace("x", "q")
+    bench = spark.createDataFrame([(1, sums), (2, table), (3, names), (4, long), (5, None), (6, "?!")], "item_id long, text string")
+    words = long.split()
+    docs = [
+        (1, f"So: {sums} I ask."), (2, f"See {table} there."), (3, f"Well. {names.lower()} tonight."), (4, f"well {names.upper()} tonight"),
+        (5, f"Before it {' '.join(words[40:64])} after it."), (6, f"Before it {' '.join(words[40:63])} after it."),
+        (7, "What is 13 times 8?"), (8, "7 12 19 4 and nothing more of it"), (9, None),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect())
+    # 24 words of an item in a row count, 23 don't unless they are half of it
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 3), (5, 4)]
+
+
 def test_decontamination_by_shuffle_equals_broadcast(spark):
     from vardens.llm.common import table
 

@@ -4,16 +4,18 @@ Texts are cut into tokens (runs of letters or digits, lower-cased).  A token is
 when it is a number, a name (capitalised inside a sentence) or a unit that follows a
 number; slots are replaced by a typed placeholder, so an item whose numbers, names or
 units were changed keeps its template.  Every run of ``window`` template tokens with at
-least ``min_literals`` literal ones is a key.  Documents' keys meet the benchmark's keys
-in an equi-join on a 64-bit hash; a hit is confirmed by comparing the template tokens
-themselves.
+least ``min_literals`` literal ones is a key, and every run of ``window`` plain tokens is
+one too, so an item that is mostly slots, or whose copy has other capitals, is found when
+it is copied word for word.  Documents' keys meet the benchmark's keys
+in an equi-join on a 64-bit hash; a hit is confirmed by comparing the tokens themselves.
 
 Hits of one document on one item are lined up by offset.  An alignment is consistent
 when every value that a slot type takes in the item corresponds to a single value in the
 document (the same person keeps the same new name, the same number the same new number);
 windows of inconsistent alignments do not count.  A document is contaminated by an item
 when the windows of its consistent alignments make up at least ``min_cover`` of the
-item's keys.
+item's windows (of all, or of those that have a template key), or when ``min_run`` windows
+in a row match in one of them, however long the item is.
 
 Names depend on what stands before them, so the first token of a planted passage may
 change its type; windows that do not hold it are untouched, and items have many windows.
@@ -24,8 +26,8 @@ that documents' keys are shuffled and the benchmark side is repeated over ``salt
 a passage that very many documents share is spread.  Only hits move afterwards.
 
 Defined cases: a null or empty text has no token and is clean; an item shorter than
-``window`` is one window of its own length; an item without a key (too few literals, no
-token, null) matches nothing; equal items each match; a null id is a group of its own and
+``window`` is one window of its own length; an item without a token (or null) matches
+nothing; equal items each match; a null id is a group of its own and
 rows that repeat an id are judged together; empty tables give clean or empty results.
 """
 
@@ -39,6 +41,7 @@ from ..session import checkpoint
 WINDOW = 8
 MIN_LITERALS = 4
 MIN_COVER = 0.5
+MIN_RUN = 2 * WINDOW + 1  # three windows end to end
 MAX_BROADCAST_KEYS = 500_000
 SALTS = 32
 #: Units of measure that count as a slot after a number.
@@ -59,7 +62,8 @@ def _let(value: Column, body) -> Column:
 
 
 def template(text: Column) -> Column:
-    """Struct of ``vals`` (tokens) and ``tpl`` (the same with slots as placeholders)."""
+    """Struct of ``vals`` (tokens), ``tpl`` (the same with slots as placeholders) and
+    ``plain`` (the same without the marks of names and units, so without regard to case)."""
     # a capital letter after a letter, digit, comma, colon or semicolon and one blank is inside a sentence
     name = r"\p{Lu}(?<=[\p{L}\p{N},;:]\s\p{Lu})(?=\p{Ll})"
     unit = r"(?<=\p{N})\s?(?=(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}]))"
@@ -75,7 +79,10 @@ def template(text: Column) -> Column:
             .when(first.between("0", "9"), "<num>").otherwise(t)
         )
 
-    return _let(tokens, lambda m: F.struct(m.alias("vals"), F.transform(m, slot).alias("tpl")))
+    def plain(t: Column) -> Column:
+        return F.translate(t, NAME_MARK + UNIT_MARK, "")
+
+    return _let(tokens, lambda m: F.struct(m.alias("vals"), F.transform(m, slot).alias("tpl"), F.transform(m, plain).alias("plain")))
 
 
 def window_keys(tpl: Column, length: int) -> Column:
@@ -88,26 +95,33 @@ def window_keys(tpl: Column, length: int) -> Column:
     return _let(F.transform(tpl, lambda t: F.xxhash64(t)), keys)
 
 
-def _slices(tpl: Column, vals: Column, starts: Column, length: int) -> Column:
-    """For each 0-based start: the start, its key and its slices of both arrays."""
+def _slices(t: Column, starts: Column, length: int) -> Column:
+    """For each 0-based start, by template and by plain tokens: the start, the key, the
+    tokens it is made of and the slices of template and values."""
 
-    def one(at: Column) -> Column:
-        return F.struct(
-            at.alias("at"), F.xxhash64(F.transform(F.slice(tpl, at + 1, length), lambda t: F.xxhash64(t))).alias("key"),
-            F.slice(tpl, at + 1, length).alias("tpl"), F.slice(vals, at + 1, length).alias("vals"),
+    def one(tokens: Column):
+        return lambda at: F.struct(
+            at.alias("at"), F.xxhash64(F.transform(F.slice(tokens, at + 1, length), lambda x: F.xxhash64(x))).alias("key"),
+            F.slice(tokens, at + 1, length).alias("tokens"), F.slice(t["tpl"], at + 1, length).alias("tpl"),
+            F.slice(t["vals"], at + 1, length).alias("vals"),
         )
 
-    return F.transform(starts, one)
+    return F.array_distinct(F.concat(F.transform(starts, one(t["tpl"])), F.transform(starts, one(t["plain"]))))
+
+
+def _is_slot(t: Column) -> Column:
+    return F.startswith(t, F.lit("<"))
 
 
 def benchmark_windows(items: DataFrame, length: int, min_literals: int) -> DataFrame:
-    """Windows of the benchmark's items that hold enough literal tokens."""
+    """Windows of the benchmark's items: templates that hold enough literal tokens, and all
+    plain ones; ``wide`` tells whether there is such a template at this place."""
     starts = F.sequence(F.lit(0), F.size("t.tpl") - length)
-    rows = items.select("item_id", F.explode(_slices(F.col("t.tpl"), F.col("t.vals"), starts, length)).alias("w"))
-    literals = F.size(F.filter("w.tpl", lambda t: ~F.startswith(t, F.lit("<"))))
-    return rows.filter(literals >= min(min_literals, length)).select(
-        "item_id", F.col("w.at").alias("item_at"), F.col("w.key").alias("key"), F.col("w.tpl").alias("item_tpl"),
-        F.col("w.vals").alias("item_vals"),
+    rows = items.select("item_id", F.explode(_slices(F.col("t"), starts, length)).alias("w"))
+    wide = F.size(F.filter("w.tpl", lambda t: ~_is_slot(t))) >= min(min_literals, length)
+    return rows.filter(wide | ~F.exists("w.tokens", _is_slot)).select(
+        "item_id", F.col("w.at").alias("item_at"), F.col("w.key").alias("key"), F.col("w.tokens").alias("item_tokens"),
+        F.col("w.vals").alias("item_vals"), wide.alias("wide"),
     )
 
 
@@ -121,25 +135,46 @@ def _meet(asked: DataFrame, keys: DataFrame, broadcast: bool, salts: int) -> Dat
 
 
 def _aligned(docs: DataFrame, known: DataFrame, length: int, max_broadcast: int, salts: int) -> DataFrame:
-    """Confirmed window hits ``(__id, item_id, item_at, offset, slots)``.
+    """Confirmed window hits ``(__id, item_id, item_at, wide, offset, slots)``.
 
     First every window's key meets the benchmark's keys, with nothing but the id and the
     place beside it; only documents that are hit are read again for their slots.
     """
     distinct = known.select("key").distinct()
     small = distinct.count() <= max_broadcast
-    asked = docs.select("__id", F.posexplode(window_keys(template(F.col("__text"))["tpl"], length)).alias("at", "key"))
+
+    def both(own: Column, plain: Column) -> Column:
+        placed = F.transform(own, lambda k, at: F.struct(at.alias("at"), k.alias("key")))
+        others = F.zip_with(placed, plain, lambda o, k: F.struct(o["at"].alias("at"), F.when(o["key"] != k, k).alias("key")))
+        return F.concat(placed, F.filter(others, lambda o: o["key"].isNotNull()))
+
+    keys = _let(template(F.col("__text")), lambda t: _let(
+        F.struct(window_keys(t["tpl"], length).alias("own"), window_keys(t["plain"], length).alias("plain")),
+        lambda k: both(k["own"], k["plain"]),
+    ))
+    asked = docs.select("__id", F.explode(keys).alias("k")).select("__id", "k.at", "k.key")
     met = checkpoint(_meet(asked, distinct, small, salts).groupBy("__id").agg(F.collect_set("at").alias("starts")))
     few = met.count() <= max_broadcast
     met = met.withColumnRenamed("__id", "__hit")
     again = docs.join(F.broadcast(met) if few else met, F.col("__id").eqNullSafe(F.col("__hit")))
-    slices = _let(template(F.col("__text")), lambda t: _slices(t["tpl"], t["vals"], F.col("starts"), length))
+    slices = _let(template(F.col("__text")), lambda t: _slices(t, F.col("starts"), length))
     rows = again.select("__id", F.explode(slices).alias("w"))
-    rows = rows.select("__id", F.col("w.at").alias("at"), F.col("w.key").alias("key"), F.col("w.tpl").alias("tpl"), F.col("w.vals").alias("vals"))
-    found = _meet(rows, known, known.count() <= max_broadcast, salts).filter(F.col("tpl") == F.col("item_tpl"))
-    pairs = F.arrays_zip(F.col("item_tpl").alias("kind"), F.col("item_vals").alias("old"), F.col("vals").alias("new"))
-    slots = F.filter(pairs, lambda s: F.startswith(s["kind"], F.lit("<")))
-    return found.select("__id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), slots.alias("slots"))
+    rows = rows.select("__id", F.col("w.at").alias("at"), F.col("w.key").alias("key"), F.col("w.tokens").alias("tokens"), F.col("w.vals").alias("vals"))
+    found = _meet(rows, known, known.count() <= max_broadcast, salts).filter(F.col("tokens") == F.col("item_tokens"))
+    pairs = F.arrays_zip(F.col("item_tokens").alias("kind"), F.col("item_vals").alias("old"), F.col("vals").alias("new"))
+    slots = F.filter(pairs, lambda s: _is_slot(s["kind"]))
+    return found.select("__id", "item_id", "item_at", "wide", (F.col("at") - F.col("item_at")).alias("offset"), slots.alias("slots"))
+
+
+def _has_run(starts: Column, length: int) -> Column:
+    """Whether ``length`` of the distinct starts follow one another without a gap."""
+
+    def found(s: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(s) - (length - 1))
+        gapless = F.exists(firsts, lambda i: F.element_at(s, i + (length - 1)) - F.element_at(s, i) == length - 1)
+        return F.when(F.size(s) >= length, gapless).otherwise(F.lit(False))
+
+    return _let(F.array_sort(starts), found)
 
 
 def find_leaks(
@@ -152,6 +187,7 @@ def find_leaks(
     window: int = WINDOW,
     min_literals: int = MIN_LITERALS,
     min_cover: float = MIN_COVER,
+    min_run: int = MIN_RUN,
     max_broadcast_keys: int = MAX_BROADCAST_KEYS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -167,20 +203,28 @@ def find_leaks(
         found = _aligned(texts, known, length, max_broadcast_keys, salts)
         hits = found if hits is None else hits.unionByName(found)
         keys = known if keys is None else keys.unionByName(known)
+    at_wide = F.when(F.col("wide"), F.col("item_at"))
     aligned = hits.groupBy("__id", "item_id", "offset").agg(
-        F.collect_set("item_at").alias("starts"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.collect_set("item_at").alias("starts"), F.collect_set(at_wide).alias("wides"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     old = F.transform("slots", lambda s: F.struct(s["kind"], s["old"]))
     one_value = F.size(F.array_distinct(old)) == F.size("slots")
     changed = F.size(F.filter("slots", lambda s: s["old"] != s["new"]))
+    number = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
     covered = aligned.filter(one_value).groupBy("__id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("starts")))).alias("n_windows"),
-        F.max(changed).alias("n_slots_changed"),
+        number("starts").alias("n_all"), number("wides").alias("n_wide"),
+        F.max(_has_run(F.col("starts"), min_run)).alias("run"), F.max(changed).alias("n_slots_changed"),
+    )
+    sizes = keys.groupBy(F.col("item_id").alias("__item")).agg(
+        F.countDistinct("item_at").alias("all"), F.countDistinct(at_wide).alias("wide")
     )
-    sizes = keys.groupBy(F.col("item_id").alias("__item")).agg(F.countDistinct("item_at").alias("item_windows"))
     leaks = covered.join(sizes, F.col("item_id").eqNullSafe(F.col("__item"))).drop("__item")
+    by_wide = F.col("n_wide") * F.col("all") > F.col("n_all") * F.col("wide")  # the larger share of the two
+    leaks = leaks.withColumn("n_windows", F.when(by_wide, F.col("n_wide")).otherwise(F.col("n_all")))
+    leaks = leaks.withColumn("item_windows", F.when(by_wide, F.col("wide")).otherwise(F.col("all")))
     leaks = leaks.withColumn("cover", F.round(F.col("n_windows") / F.col("item_windows"), 6))
-    return leaks.filter(F.col("cover") >= min_cover).select(
+    return leaks.filter((F.col("cover") >= min_cover) | F.col("run")).select(
         F.col("__id").alias(id_col), "item_id", "n_windows", "item_windows", "cover", "n_slots_changed"
     )
 
