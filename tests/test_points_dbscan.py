@@ -226,3 +226,12 @@ def test_validate_rejects_duplicate_ids(spark):
     with pytest.raises(ValueError):
         dbscan(p, 0.5, 2, validate=True)
     assert dbscan(pts_df(spark, [(1, 0.0, 0.0), (2, 0.1, 0.0)]), 0.5, 2, validate=True).count() == 2
+
+
+def test_written_assignments_of_the_events_are_read_again(spark):
+    from tests.compare import compare
+    from vardens.plans.registry import REGISTRY
+
+    sf = "/root/testdata/sf0.001"
+    assert REGISTRY["write_assignments_events"].run(spark, sf).columns == ["id", "role", "cluster_id"]
+    assert compare(spark, "write_assignments_events", sf, verbose=False)

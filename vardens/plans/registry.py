@@ -210,15 +210,16 @@ def q_documents(spark, sf_dir):
     return _docs(spark, sf_dir)
 
 
-@register("write_assignments_events", f"SELECT id, x0, x1, ({O.EVENT_VALID}) AS valid FROM ({O.EVENT_POINTS_SQL}) p")
+@register("write_assignments_events", O.dbscan_sql(O.EVENT_POINTS_SQL, DBSCAN_EPS, DBSCAN_MIN_PTS))
 def q_write(spark, sf_dir):
     import uuid
 
+    from ..operators.cluster import dbscan
     from ..session import ensure_checkpoint_dir
     from ..sources.points import write_assignments
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/written/{uuid.uuid4().hex}"
-    write_assignments(_events(spark, sf_dir), path)
+    write_assignments(dbscan(_events(spark, sf_dir), DBSCAN_EPS, DBSCAN_MIN_PTS), path)
     return spark.read.parquet(path)
 
 
