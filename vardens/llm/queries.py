@@ -1,4 +1,4 @@
-"""Queries ``op1_`` to ``op10_`` over the driver's tables, at production parameters."""
+"""Queries ``op1_`` to ``op13_`` over the driver's tables, at production parameters."""
 
 from __future__ import annotations
 
@@ -244,3 +244,73 @@ def op1(spark, sf_dir):
     return scored.select(
         "doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+# --------------------------------------------------------------------------- 11
+
+
+@register("op11_whitening")
+def op11(spark, sf_dir):
+    from .whitening import fit, transform
+
+    rows = table(spark, sf_dir, "embeddings")
+    return transform(rows, fit(rows), ["vec_id"])
+
+
+# --------------------------------------------------------------------------- 12
+
+
+@register("op12_packing")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack
+
+    docs = table(spark, sf_dir, "documents")
+    _, places = pack(docs, ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"))
+    return places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+# --------------------------------------------------------------------------- 13
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p
+), totals AS (
+  SELECT lang, sum(len(w))::bigint AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i+s-1], ' '))) AS phrase
+  FROM w, (SELECT unnest(range(1, 6)) AS s) WHERE len(w) >= s
+), f AS (
+  SELECT lang, s, phrase, count(*)::bigint AS a, string_split(phrase, ' ') AS w FROM g GROUP BY ALL HAVING count(*) >= 100
+), parts AS (
+  SELECT DISTINCT lang, a, array_to_string(w[i:i+k-1], ' ') AS phrase
+  FROM f, (SELECT unnest(range(2, 5)) AS k), (SELECT unnest(range(1, 5)) AS i) WHERE k < s AND i + k - 1 <= s
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY ALL
+), cuts AS (
+  SELECT f.lang, f.phrase, f.a, l.a AS l, r.a AS r, n, k, ((1000::hugeint * f.a * n) // (l.a::hugeint * r.a))::bigint AS score
+  FROM f JOIN totals USING (lang), (SELECT unnest(range(1, 5)) AS k)
+  JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.w[1:k], ' ')
+  JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.w[k+1:], ' ')
+  WHERE f.s > 1 AND k < f.s
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR longer < b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@register("op13_collocations", OP13_SQL)
+def op13(spark, sf_dir):
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
