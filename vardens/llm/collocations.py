@@ -16,7 +16,8 @@ pair of the ids (32 bits each) of those two: 64 bits, nothing lost.
    (``filter_bytes``).  The filter gives back every pair and count exactly.
 4. ``merge``: the sorted filters of a bucket from all runs are merged and summed.  Pairs
    that reach ``min_count`` are phrases of the next round, and each run is told the ids of
-   those that it holds.  A task holds one bucket, of about ``BUCKET`` occurrences.
+   those that it holds.  A task holds one bucket, of about ``BUCKET`` occurrences.  Runs are
+   tables in buckets: the ids travel to them, the texts are never shuffled.
 
 Frequent phrases alone are then joined to their parts, scored and ranked.
 
@@ -42,8 +43,8 @@ from .common import bounded_map, pieces
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-#: Occurrences of pairs in a bucket, word buckets, runs in one file.
-BUCKET, WORD_BUCKETS, RUNS_A_FILE = 1 << 19, 4096, 16
+#: Occurrences of pairs in a bucket, word buckets, rows in one file of runs.
+BUCKET, WORD_BUCKETS, ROWS_A_FILE = 1 << 19, 4096, 4096
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)], _KIND[list(BREAKS)] = 1, 2
@@ -116,11 +117,26 @@ def runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Dat
     return bounded_map(picked, cut, "run long, lang string, words array<string>, counts array<long>, stream binary")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """As ``checkpoint``, with few rows a file: rows are large and read by the file."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", RUNS_A_FILE).parquet(path)
-    return df.sparkSession.read.parquet(path)
+class _Bucketed:
+    """Tables written in buckets of runs, so that what is joined to a run's large stream
+    travels to it and the stream stays where it is."""
+
+    def __init__(self, spark):
+        self.spark, self.names = spark, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(self, df: DataFrame, *parts: str) -> DataFrame:
+        name = f"runs_{uuid.uuid4().hex}"
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables/{name}"
+        writer = df.write.format("parquet").option("path", path).option("maxRecordsPerFile", ROWS_A_FILE)
+        (writer.partitionBy(*parts) if parts else writer).bucketBy(self.buckets, "run").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def forget(self) -> None:
+        """Take the tables out of the catalog; their files stay in the checkpoint folder."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 # ------------------------------------------------------------------ quotient filters
@@ -191,36 +207,26 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array([values.astype(np.int64)], pa.list_(pa.int64()))
 
 
-_ADVANCED = "run long, lang string, bucket long, data binary"
+_ADVANCED = "run long, lang string, bucket long, data binary, kind string"
 
 
 def advance(streams: DataFrame, ids: DataFrame, bits: int, first: bool) -> DataFrame:
-    """One round: ``streams`` (``run, lang, stream``) with the ``ids`` of frequent phrases
-    (``run, keys, ids``) become the next streams (bucket null) and filters of pairs.
+    """One round: ``streams`` (``run, lang, data``) with the ``ids`` of frequent phrases
+    (``run, keys, ids``) become the next streams and filters of pairs (``kind`` tells).
 
     A stream after the first round holds steps between places, then ids (uint32 each).
     """
-    both = ids.selectExpr("run", "'' as lang", "0 as kind", "keys", "ids", "cast(null as binary) as stream").unionByName(
-        streams.selectExpr("run", "lang", "1 as kind", "cast(null as array<long>) as keys", "cast(null as array<long>) as ids", "stream")
-    )
-    dealt = both.repartition("run").sortWithinPartitions("run", "kind")
+    told = ids.groupBy("run").agg(F.flatten(F.collect_list("keys")).alias("keys"), F.flatten(F.collect_list("ids")).alias("ids"))
+    both = streams.join(told.hint("shuffle_hash"), "run").select("run", "lang", "keys", "ids", "data")
 
     def rows(batches):
-        of, keys, found = None, [], []
         for batch in batches:
             for k in range(batch.num_rows):
-                run = batch.column(0)[k].as_py()
-                if run != of:
-                    of, keys, found = run, [], []
-                if batch.column(2)[k].as_py() == 0:
-                    keys.append(np.asarray(batch.column(3)[k].values, np.int64).view(np.uint64))
-                    found.append(np.asarray(batch.column(4)[k].values, np.int64).view(np.uint64))
-                    continue
-                lang, stream = batch.column(1).slice(k, 1), batch.column(5)[k].as_buffer()
-                if keys:
-                    yield from _advanced(run, lang, stream, np.concatenate(keys), np.concatenate(found), bits, first)
+                keys, found = (np.asarray(batch.column(c)[k].values, np.int64).view(np.uint64) for c in (2, 3))
+                lang, stream = batch.column(1).slice(k, 1), batch.column(4)[k].as_buffer()
+                yield from _advanced(batch.column(0)[k].as_py(), lang, stream, keys, found, bits, first)
 
-    return bounded_map(dealt, rows, _ADVANCED)
+    return bounded_map(both, rows, _ADVANCED)
 
 
 def _advanced(run, lang, stream, keys, found, bits, first):
@@ -253,8 +259,9 @@ def _advanced(run, lang, stream, keys, found, bits, first):
         [
             pa.array(np.full(n, run)), lang.take(pa.array(np.zeros(n, np.int64))),
             pa.array([None, *buckets[starts].tolist()], pa.int64()), pa.array([data, *filters], pa.binary()),
+            pa.array(["stream", *["filter"] * (n - 1)]),
         ],
-        ["run", "lang", "bucket", "data"],
+        ["run", "lang", "bucket", "data", "kind"],
     )
 
 
@@ -315,7 +322,8 @@ def frequent_phrases(
     words the phrases found ``min_count`` times: ``lang, id, left, right, phrase, last, a``,
     the counts ``pre`` and ``suf`` of their proper first and last parts by length, and
     ``inside``, the largest count of a frequent phrase of one word more that holds them."""
-    cut = _written(runs(docs, text_col, lang_col))
+    store = _Bucketed(docs.sparkSession)
+    cut = store.write(runs(docs, text_col, lang_col))
     held = cut.select("run", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
         "run", "lang", (F.col("at") + 1).cast("long").alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("c")
     )
@@ -337,17 +345,18 @@ def frequent_phrases(
         "lang", "id", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), F.col("word").alias("phrase"),
         F.col("word").alias("last"), "a", none.alias("pre"), none.alias("suf"),
     )
-    tables, streams = [checkpoint(start)], cut.select("run", "lang", "stream")
+    tables, streams = [checkpoint(start)], cut.select("run", "lang", F.col("stream").alias("data"))
     for size in range(1, max_words):
-        done = _written(advance(streams, ids, bits, first=size == 1))
-        streams = done.filter("bucket is null").select("run", "lang", F.col("data").alias("stream"))
-        merged = checkpoint(merge(done.filter("bucket is not null"), bits, min_count))
+        done = store.write(advance(streams, ids, bits, first=size == 1), "kind")
+        streams = done.filter("kind = 'stream'").select("run", "lang", "data")
+        merged = checkpoint(merge(done.filter("kind = 'filter'").select("run", "lang", "bucket", "data"), bits, min_count))
         ids = merged.filter("run is not null").select("run", "keys", "ids")
         pairs = merged.filter("run is null").select("lang", F.explode(F.arrays_zip("keys", "ids", "counts")).alias("p")).select(
             "lang", F.col("p.ids").alias("id"), F.shiftrightunsigned("p.keys", 32).alias("left"),
             F.col("p.keys").bitwiseAND(0xFFFFFFFF).alias("right"), F.col("p.counts").alias("a"),
         )
         tables.append(checkpoint(_grown(pairs, tables[-1])))
+    store.forget()
     return totals, [t.join(_inside(up), ["lang", "id"], "left") for t, up in zip(tables, tables[1:])] + [
         tables[-1].withColumn("inside", F.lit(None).cast("long"))
     ]

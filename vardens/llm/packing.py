@@ -28,6 +28,8 @@ from __future__ import annotations
 import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,13 @@ from .common import arrow_map, bounded_map, pieces
 
 CAPACITY, END, NODES = 2048, 0, 4_000
 #: Chunks whose ids a task remembers before it starts afresh.
-KNOWN = 300_000
+KNOWN = 1_000_000
+#: Parts of the possible uses of a filling that the searches take.
+SHARES = (1, 4)
+#: White space of the tokenizer's split pattern beyond ASCII.
+WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Chunks whose ids a task remembers before it starts afresh.
+KNOWN = 1_000_000
 #: Parts of the possible uses of a filling that the searches take.
 SHARES = (1, 4)
 #: White space as the tokenizer's split pattern has it, and with it the places where a
@@ -54,14 +62,43 @@ Filling = tuple[tuple[int, int], ...]  # (length, how many of it) of one sequenc
 # ------------------------------------------------------------------ tokens
 
 
-class Encoder:
-    """Token ids of whole texts, with equal chunks of a run of texts encoded once.
+_SPACE, _LETTER, _STOP = (np.zeros(256, bool) for _ in range(3))
+_SPACE[list(b"\t\n\x0b\x0c\r ")] = True
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_STOP[list(b".,;:!?")] = True
+
+
+def _chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A null-free text column cut where the tokenizer's pattern always starts a token, and
+    the number of chunks of each text (none for an empty one).
 
-    The byte-level pattern always starts a token at a blank between two other characters
-    (no token has a blank inside and white space joins only white space), so a text is cut
-    there and the ids of the distinct chunks put together.  Texts with other blanks are
-    encoded whole.
+    Such places are: a blank between two characters that are no white space, a line feed
+    after one, a stop after a letter, and a letter after a line feed that stands alone.  A
+    text with white space beyond ASCII stays whole.
     """
+    whole = np.asarray(pc.match_substring_regex(texts, WIDE_SPACE))
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    bounds = ends - ends[0]
+    cut = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 2:
+        space, letter = _SPACE[raw], _LETTER[raw]
+        blank, feed = raw == 32, raw == 10
+        cut[1:-2] = blank[1:-1] & ~space[:-2] & ~space[2:]
+        cut[1:-1] |= feed[1:] & ~space[:-1] | _STOP[raw[1:]] & letter[:-1]
+        cut[2:-1] |= letter[2:] & feed[1:-1] & ~space[:-2]
+    for k in np.flatnonzero(whole):
+        cut[bounds[k] : bounds[k + 1]] = False
+    cut[bounds] = True
+    at = np.flatnonzero(cut)
+    chunks = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(raw))])
+    return chunks, np.diff(np.searchsorted(at, bounds))
+
+
+class Encoder:
+    """Token ids of whole texts, with equal chunks encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,7 +114,7 @@ class Encoder:
     def _ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         return flat, sizes
 
     def _look_up(self, chunks: list[str]) -> np.ndarray:
@@ -92,33 +129,20 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each."""
-        whole = np.asarray(pc.or_(pc.match_substring_regex(texts, UNSAFE), pc.equal(texts, "")))
-        at = np.flatnonzero(~whole)
-        lists = pc.split_pattern(texts.take(pa.array(at)), " ")
-        offsets, parts = np.asarray(lists.offsets, np.int64), lists.flatten()
-        offsets = offsets - offsets[0]
-        lead = np.ones(len(parts), np.int8)
-        lead[offsets[:-1]] = 0
-        marks = pa.DictionaryArray.from_arrays(pa.array(lead), pa.array(["", " "])).cast(parts.type)
-        coded = pc.binary_join_element_wise(marks, parts, "").dictionary_encode()
-        odd = np.flatnonzero(whole)
-        chunk = self._look_up(coded.dictionary.to_pylist())
-        odd_flat, odd_sizes = self._ids(texts.take(pa.array(odd)).to_pylist())
-        flat, sizes = np.concatenate([self.flat, odd_flat]), np.concatenate([self.sizes, odd_sizes])
-        # every row as a run of known strings: chunks, or itself
-        n_chunks = np.ones(len(texts), np.int64)
-        n_chunks[at] = np.diff(offsets)
-        ends = np.cumsum(n_chunks)
-        refs = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-        if len(odd):
-            refs[ends[odd] - 1] = len(self.sizes) + np.arange(len(odd))
-        if len(at):
-            refs[np.repeat(~whole, n_chunks)] = chunk[np.asarray(coded.indices, np.int64)]
-        size = sizes[refs]
-        start = np.concatenate([[0], np.cumsum(sizes)])[:-1][refs]
+        chunks, n = _chunks(texts)
+        coded = chunks.dictionary_encode()
+        refs = self._look_up(coded.dictionary.to_pylist())[np.asarray(coded.indices, np.int64)]
+        size = self.sizes[refs]
+        start = (np.cumsum(self.sizes) - self.sizes)[refs]
         before = np.cumsum(size) - size
-        ids = flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
-        return ids, np.add.reduceat(size, ends - n_chunks) if len(ends) else n_chunks
+        ids = self.flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])])
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def tokenise(docs: DataFrame, carry: list[str], text_col: str, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -130,7 +154,7 @@ def tokenise(docs: DataFrame, carry: list[str], text_col: str, path: str, capaci
     schema = f"{schema}, piece int, start long, length long, part long, nth long, ids binary"
 
     def run(batches):
-        encoder, seen, part = Encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, part = _encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for first, column in pieces(batch.column(len(carry)), 4 << 20):
                 ids, sizes = encoder.encode(column)
