@@ -108,10 +108,26 @@ def test_reparameterised_items_are_found(spark):
     docs = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'c' as item_id", "1 as at", "2 as key")
     bench = spark.createDataFrame([(7, ITEM), (8, None), (9, ""), (10, "only four words here"), (11, ITEM)], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.flag_documents(docs, bench).collect()}
-    assert {k for k, r in got.items() if r.contaminated} == {1, 2, None}
+    # two words changed in one place each leave most windows as they are
+    assert {k for k, r in got.items() if r.contaminated} == {1, 2, 3, None}
     assert got[2].item_ids == [7, 11] and got[4].item_ids == []
     assert decontaminate.clean_documents(docs, bench).columns == docs.columns
-    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {3, 4, 5, 6, 7}
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {4, 5, 6, 7}
+
+
+def test_one_changed_slot_does_not_clear_a_copy(spark):
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrstuvw'[i // 10]}" for i in range(128)]
+    words[20], words[60], words[90] = "Tom", "Tom", "Tom"
+    words[40], words[100] = "17", "17"
+    item = " ".join(words)
+    other = [*words[:60], "Ann", *words[61:]]
+    number = [*words[:100], "18", *words[101:]]
+    mixed = [str(int(w) + i) if w.isdigit() else w for i, w in enumerate("3 cats met 3 dogs and 3 birds then 3 cows saw 3 pigs or 3 hens".split())]
+    docs = spark.createDataFrame([(1, " ".join(other)), (2, " ".join(number)), (3, " ".join(mixed))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "3 cats met 3 dogs and 3 birds then 3 cows saw 3 pigs or 3 hens")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_slots_changed) for r in decontaminate.find_leaks(docs, bench).collect())
+    # every 3 of the last one became another number: no two windows agree
+    assert got == [(1, 1, 0), (2, 1, 0)] or got == [(1, 1, 0), (2, 1, 1)]
 
 
 def test_items_of_slots_recased_copies_and_parts_of_long_items_are_found(spark):

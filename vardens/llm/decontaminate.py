@@ -9,13 +9,13 @@ one too, so an item that is mostly slots, or whose copy has other capitals, is f
 it is copied word for word.  Documents' keys meet the benchmark's keys
 in an equi-join on a 64-bit hash; a hit is confirmed by comparing the tokens themselves.
 
-Hits of one document on one item are lined up by offset.  An alignment is consistent
-when every value that a slot type takes in the item corresponds to a single value in the
-document (the same person keeps the same new name, the same number the same new number);
-windows of inconsistent alignments do not count.  A document is contaminated by an item
-when the windows of its consistent alignments make up at least ``min_cover`` of the
-item's windows (of all, or of those that have a template key), or when ``min_run`` windows
-in a row match in one of them, however long the item is.
+Hits of one document on one item are lined up by offset.  Within an alignment a value that
+a slot type takes in the item keeps the one replacement that most windows give it (the same
+person the same new name, the same number the same new number); windows with another one do
+not count, windows that match word for word always do.  A document is contaminated by an
+item when the windows that count, over all alignments, make up at least ``min_cover`` of
+the item's windows (of all, or of those that have a template key), or when ``min_run``
+windows in a row count in one alignment, however long the item is.
 
 Names depend on what stands before them, so the first token of a planted passage may
 change its type; windows that do not hold it are untouched, and items have many windows.
@@ -33,7 +33,9 @@ rows that repeat an id are judged together; empty tables give clean or empty res
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
@@ -79,34 +81,52 @@ def template(text: Column) -> Column:
             .when(first.between("0", "9"), "<num>").otherwise(t)
         )
 
-    def plain(t: Column) -> Column:
-        return F.translate(t, NAME_MARK + UNIT_MARK, "")
+    def plain(t: Column) -> Column:  # a mark only stands before a token
+        return F.when(F.substring(t, 1, 1).isin(NAME_MARK, UNIT_MARK), t.substr(F.lit(2), F.length(t))).otherwise(t)
 
     return _let(tokens, lambda m: F.struct(m.alias("vals"), F.transform(m, slot).alias("tpl"), F.transform(m, plain).alias("plain")))
 
 
-def window_keys(tpl: Column, length: int) -> Column:
-    """Keys of all windows of ``length`` tokens, in order; null when there is none."""
+def window_keys(tokens: Column, lengths: list[int]) -> Column:
+    """A struct with, for each of ``lengths`` (``k0``, ``k1`` ...), the keys of all windows
+    of so many tokens, in order.
+
+    A token is hashed once; hashes of 2, 4, 8 ... tokens are made of two of half as many,
+    and a window is put together of those its length is the sum of.
+    """
 
-    def keys(h: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(h) - (length - 1))
-        return F.when(F.size(h) >= length, F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, length))))
+    def beside(a: Column, b: Column, step: int) -> Column:
+        later = F.slice(b, F.lit(step + 1), F.greatest(F.size(b) - step, F.lit(0)))
+        return F.zip_with(a, later, lambda x, y: F.xxhash64(x, y))
 
-    return _let(F.transform(tpl, lambda t: F.xxhash64(t)), keys)
+    def made(powers: list[Column]) -> Column:
+        if 2 ** len(powers) <= max(lengths):
+            return _let(beside(powers[-1], powers[-1], 2 ** (len(powers) - 1)), lambda p: made([*powers, p]))
+        out = []
+        for k, length in enumerate(lengths):
+            whole, at = None, 0
+            for bit in range(len(powers) - 1, -1, -1):
+                if length >> bit & 1:
+                    whole, at = (powers[bit] if whole is None else beside(whole, powers[bit], at)), at + 2**bit
+            # the last entries reach beyond the text
+            out.append(F.slice(whole, F.lit(1), F.greatest(F.size(whole) - (length - 1), F.lit(0))).alias(f"k{k}"))
+        return F.struct(*out)
+
+    return _let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: made([h]))
 
 
 def _slices(t: Column, starts: Column, length: int) -> Column:
     """For each 0-based start, by template and by plain tokens: the start, the key, the
     tokens it is made of and the slices of template and values."""
 
-    def one(tokens: Column):
-        return lambda at: F.struct(
-            at.alias("at"), F.xxhash64(F.transform(F.slice(tokens, at + 1, length), lambda x: F.xxhash64(x))).alias("key"),
+    def all_of(tokens: Column) -> Column:
+        return _let(window_keys(tokens, [length]), lambda keys: F.transform(starts, lambda at: F.struct(
+            at.alias("at"), F.element_at(keys["k0"], at + 1).alias("key"),
             F.slice(tokens, at + 1, length).alias("tokens"), F.slice(t["tpl"], at + 1, length).alias("tpl"),
             F.slice(t["vals"], at + 1, length).alias("vals"),
-        )
+        )))
 
-    return F.array_distinct(F.concat(F.transform(starts, one(t["tpl"])), F.transform(starts, one(t["plain"]))))
+    return F.array_distinct(F.concat(all_of(t["tpl"]), all_of(t["plain"])))
 
 
 def _is_slot(t: Column) -> Column:
@@ -125,47 +145,68 @@ def benchmark_windows(items: DataFrame, length: int, min_literals: int) -> DataF
     )
 
 
-def _meet(asked: DataFrame, keys: DataFrame, broadcast: bool, salts: int) -> DataFrame:
-    """Equi-join on ``key``: keys broadcast, or repeated over salts."""
+def _meet(asked: DataFrame, keys: DataFrame, on: list[str], broadcast: bool, salts: int) -> DataFrame:
+    """Equi-join on ``on``: keys broadcast, or repeated over salts."""
     if broadcast:
-        return asked.join(F.broadcast(keys), "key")
+        return asked.join(F.broadcast(keys), on)
     keys = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     asked = asked.withColumn("__salt", F.pmod(F.xxhash64("__id", "at"), F.lit(salts)).cast("int"))
-    return asked.join(keys, ["key", "__salt"]).drop("__salt")
+    return asked.join(keys, [*on, "__salt"]).drop("__salt")
 
 
-def _aligned(docs: DataFrame, known: DataFrame, length: int, max_broadcast: int, salts: int) -> DataFrame:
-    """Confirmed window hits ``(__id, item_id, item_at, wide, offset, slots)``.
+def _hits(docs: DataFrame, known: DataFrame, lengths: list[int], max_broadcast: int, salts: int) -> DataFrame:
+    """``(__id, length, starts)``: where a document has a window with a key of the benchmark.
 
-    First every window's key meets the benchmark's keys, with nothing but the id and the
-    place beside it; only documents that are hit are read again for their slots.
+    One pass over the texts for all lengths; every window's key meets the benchmark's keys
+    with nothing but the id and the place beside it.
     """
-    distinct = known.select("key").distinct()
-    small = distinct.count() <= max_broadcast
+    distinct = known.select("length", "key").distinct()
 
-    def both(own: Column, plain: Column) -> Column:
-        placed = F.transform(own, lambda k, at: F.struct(at.alias("at"), k.alias("key")))
-        others = F.zip_with(placed, plain, lambda o, k: F.struct(o["at"].alias("at"), F.when(o["key"] != k, k).alias("key")))
-        return F.concat(placed, F.filter(others, lambda o: o["key"].isNotNull()))
+    def both(k: int, length: int):
+        def merged(own: Column, plain: Column) -> Column:
+            placed = F.transform(own, lambda key, at: F.struct(F.lit(length).alias("length"), at.alias("at"), key.alias("key")))
+            others = F.zip_with(placed, plain, lambda o, key: F.when(o["key"] != key, F.struct(o["length"].alias("length"), o["at"].alias("at"), key.alias("key"))))
+            return F.concat(placed, F.filter(others, lambda o: o.isNotNull()))
+
+        return lambda keys: merged(keys["own"][f"k{k}"], keys["plain"][f"k{k}"])
 
     keys = _let(template(F.col("__text")), lambda t: _let(
-        F.struct(window_keys(t["tpl"], length).alias("own"), window_keys(t["plain"], length).alias("plain")),
-        lambda k: both(k["own"], k["plain"]),
+        F.struct(window_keys(t["tpl"], lengths).alias("own"), window_keys(t["plain"], lengths).alias("plain")),
+        lambda keys: F.concat(*[both(k, length)(keys) for k, length in enumerate(lengths)]),
     ))
-    asked = docs.select("__id", F.explode(keys).alias("k")).select("__id", "k.at", "k.key")
-    met = checkpoint(_meet(asked, distinct, small, salts).groupBy("__id").agg(F.collect_set("at").alias("starts")))
-    few = met.count() <= max_broadcast
+    asked = docs.select("__id", F.explode(keys).alias("k")).select("__id", "k.length", "k.at", "k.key")
+    met = _meet(asked, distinct, ["length", "key"], distinct.count() <= max_broadcast, salts)
+    return checkpoint(met.groupBy("__id", "length").agg(F.collect_set("at").alias("starts")))
+
+
+def _aligned(docs: DataFrame, met: DataFrame, known: DataFrame, length: int, max_broadcast: int, salts: int) -> DataFrame:
+    """Confirmed window hits ``(__id, item_id, item_at, wide, offset, slots)`` of ``length``
+    tokens; only documents that are hit are read again, for their slots."""
+    few = (met.agg(F.sum(F.size("starts") + 2)).first()[0] or 0) <= max_broadcast
     met = met.withColumnRenamed("__id", "__hit")
     again = docs.join(F.broadcast(met) if few else met, F.col("__id").eqNullSafe(F.col("__hit")))
     slices = _let(template(F.col("__text")), lambda t: _slices(t, F.col("starts"), length))
     rows = again.select("__id", F.explode(slices).alias("w"))
     rows = rows.select("__id", F.col("w.at").alias("at"), F.col("w.key").alias("key"), F.col("w.tokens").alias("tokens"), F.col("w.vals").alias("vals"))
-    found = _meet(rows, known, known.count() <= max_broadcast, salts).filter(F.col("tokens") == F.col("item_tokens"))
+    found = _meet(rows, known, ["key"], known.count() <= max_broadcast, salts).filter(F.col("tokens") == F.col("item_tokens"))
     pairs = F.arrays_zip(F.col("item_tokens").alias("kind"), F.col("item_vals").alias("old"), F.col("vals").alias("new"))
-    slots = F.filter(pairs, lambda s: _is_slot(s["kind"]))
+    slots = F.array_distinct(F.filter(pairs, lambda s: _is_slot(s["kind"])))
     return found.select("__id", "item_id", "item_at", "wide", (F.col("at") - F.col("item_at")).alias("offset"), slots.alias("slots"))
 
 
+def _consistent(hits: DataFrame) -> DataFrame:
+    """The windows of each alignment whose slots all have the replacement that most windows
+    of the alignment give the value (ties: the value itself, then the smallest)."""
+    line = ["__id", "item_id", "offset"]
+    value = [*line, "s.kind", "s.old"]
+    each = hits.distinct().withColumn("s", F.explode_outer("slots"))
+    voted = each.withColumn("votes", F.count(F.lit(1)).over(Window.partitionBy(*value, "s.new")))
+    order = [F.desc("votes"), F.desc(F.col("s.old") == F.col("s.new")), F.asc("s.new")]
+    picked = voted.withColumn("pick", F.first("s.new").over(Window.partitionBy(*value).orderBy(*order)))
+    agrees = F.bool_and(F.col("s").isNull() | (F.col("s.new") == F.col("pick")))
+    return picked.groupBy(*line, "item_at", "wide", "slots").agg(agrees.alias("agrees")).filter("agrees")
+
+
 def _has_run(starts: Column, length: int) -> Column:
     """Whether ``length`` of the distinct starts follow one another without a gap."""
 
@@ -196,27 +237,27 @@ def find_leaks(
     items = checkpoint(items.withColumn("n", F.size("t.tpl")).filter("n > 0"))
     short = [r[0] for r in items.filter(F.col("n") < window).select("n").distinct().collect()]  # fewer than `window` values
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    hits = keys = None
-    for length in [*sorted(short), window]:
+    lengths, hits, keys = [*sorted(short), window], [], []
+    for length in lengths:
         chosen = items.filter(F.col("n") >= window if length == window else F.col("n") == length)
-        known = checkpoint(benchmark_windows(chosen, length, min_literals))
-        found = _aligned(texts, known, length, max_broadcast_keys, salts)
-        hits = found if hits is None else hits.unionByName(found)
-        keys = known if keys is None else keys.unionByName(known)
+        keys.append(checkpoint(benchmark_windows(chosen, length, min_literals)))
+    sized = reduce(DataFrame.unionByName, [k.withColumn("length", F.lit(n)) for k, n in zip(keys, lengths)])
+    met = _hits(texts, sized, lengths, max_broadcast_keys, salts)
+    for known, length in zip(keys, lengths):
+        at = met.filter(F.col("length") == length).drop("length")
+        hits.append(_aligned(texts, at, known, length, max_broadcast_keys, salts))
     at_wide = F.when(F.col("wide"), F.col("item_at"))
-    aligned = hits.groupBy("__id", "item_id", "offset").agg(
+    aligned = _consistent(reduce(DataFrame.unionByName, hits)).groupBy("__id", "item_id", "offset").agg(
         F.collect_set("item_at").alias("starts"), F.collect_set(at_wide).alias("wides"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    old = F.transform("slots", lambda s: F.struct(s["kind"], s["old"]))
-    one_value = F.size(F.array_distinct(old)) == F.size("slots")
     changed = F.size(F.filter("slots", lambda s: s["old"] != s["new"]))
     number = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
-    covered = aligned.filter(one_value).groupBy("__id", "item_id").agg(
+    covered = aligned.groupBy("__id", "item_id").agg(
         number("starts").alias("n_all"), number("wides").alias("n_wide"),
         F.max(_has_run(F.col("starts"), min_run)).alias("run"), F.max(changed).alias("n_slots_changed"),
     )
-    sizes = keys.groupBy(F.col("item_id").alias("__item")).agg(
+    sizes = sized.groupBy(F.col("item_id").alias("__item")).agg(
         F.countDistinct("item_at").alias("all"), F.countDistinct(at_wide).alias("wide")
     )
     leaks = covered.join(sizes, F.col("item_id").eqNullSafe(F.col("__item"))).drop("__item")
