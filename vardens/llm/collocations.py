@@ -45,6 +45,8 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Occurrences of pairs in a bucket, word buckets, rows in one file of runs.
 BUCKET, WORD_BUCKETS, ROWS_A_FILE = 1 << 19, 4096, 4096
+#: Frequent words up to which they are broadcast instead of shuffled with the runs' words.
+MAX_BROADCAST_WORDS = 500_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)], _KIND[list(BREAKS)] = 1, 2
@@ -64,20 +66,20 @@ def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarr
     bounds = ends - ends[0]
     raw, kind = _LOW[raw], _KIND[raw]
     word = kind == 0
-    first = word.copy()
+    first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
-    opens = bounds[:-1][np.diff(bounds) > 0]  # a text ends the word before it
-    first[opens] = word[opens]
-    start = np.flatnonzero(first)
-    kept = np.cumsum(word)
-    at = np.concatenate([kept[start] - 1, [kept[-1] if len(kept) else 0]]).astype(np.int64)
+    last[:-1] &= ~word[1:]
+    inner = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(raw))]  # a text ends the word before it
+    first[inner], last[inner - 1] = word[inner], word[inner - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     strings = pa.Array.from_buffers(
-        pa.large_string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(raw[word]))]
+        pa.large_string(), len(start),
+        [None, pa.py_buffer(np.concatenate([[0], np.cumsum(end - start)])), pa.py_buffer(np.ascontiguousarray(raw[word]))],
     )
     coded = strings.dictionary_encode()
     row = np.searchsorted(bounds, start, "right") - 1
-    piece = np.cumsum(kind == 2)[start] + row if len(start) else start
-    return coded.dictionary, np.asarray(coded.indices, np.int64), row, piece
+    piece = np.searchsorted(np.flatnonzero(kind == 2), start) + row
+    return coded.dictionary, np.asarray(coded.indices), row, piece
 
 
 def runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -337,7 +339,8 @@ def frequent_phrases(
     words = checkpoint(
         counted.withColumn("b", bucket).select("lang", (1 + F.col("b") + WORD_BUCKETS * (rank - 1)).cast("long").alias("id"), "word", "a")
     )
-    found = held.join(words.select("lang", "word", "id"), ["lang", "word"])
+    known = words.select("lang", "word", "id")
+    found = held.join(F.broadcast(known) if words.count() <= MAX_BROADCAST_WORDS else known, ["lang", "word"])
     ids = found.groupBy("run").agg(F.collect_list(F.struct("at", "id")).alias("m")).selectExpr("run", "m.at as keys", "m.id as ids")
 
     none = F.array().cast("array<long>")

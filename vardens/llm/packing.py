@@ -29,7 +29,7 @@ import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +44,16 @@ from .common import arrow_map, bounded_map, pieces
 CAPACITY, END, NODES = 2048, 0, 4_000
 #: Chunks whose ids a task remembers before it starts afresh.
 KNOWN = 1_000_000
+#: Nodes whose fillings are kept ready.
+LIVE = 32
 #: Parts of the possible uses of a filling that the searches take.
 SHARES = (1, 4)
 #: White space of the tokenizer's split pattern beyond ASCII.
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Chunks whose ids a task remembers before it starts afresh.
 KNOWN = 1_000_000
+#: Nodes whose fillings are kept ready.
+LIVE = 32
 #: Parts of the possible uses of a filling that the searches take.
 SHARES = (1, 4)
 #: White space as the tokenizer's split pattern has it, and with it the places where a
@@ -328,19 +332,22 @@ def _search(counts, capacity, nodes, share, best, least):
     total = sum(length * n for length, n in counts.items())
     n_best = sum(n for n, _ in best)
 
-    # a stack of nodes: the fillings still to try, and what the current one took
+    # a stack of nodes: the largest length, how many fillings were tried, and the rest of them
     path: list[tuple[int, Filling]] = []
-    stack: list[tuple[Iterator[tuple[int, Filling]], int]] = []
+    stack: list[list] = []
     wasted, seen = 0, 0
 
-    def enter():
-        largest = max(length for length, n in counts.items() if n)
+    def listed(largest: int) -> Iterator[tuple[int, Filling | None]]:
         counts[largest] -= 1
-        room = capacity - largest
-        allowed = (n_best - 1) * capacity - total - wasted
-        options = fillings(dict(counts), room, allowed)
+        here = dict(counts)
         counts[largest] += 1
-        stack.append((options, largest))
+        return fillings(here, capacity - largest, (n_best - 1) * capacity - total - wasted)
+
+    def enter() -> None:
+        largest = max(length for length, n in counts.items() if n)
+        stack.append([largest, 0, listed(largest)])
+        if len(stack) > LIVE:  # made anew if the search ever comes back so far
+            stack[-LIVE - 1][2] = None
 
     def use(filling: Filling, times: int) -> None:
         for length, n in filling:
@@ -365,8 +372,12 @@ def _search(counts, capacity, nodes, share, best, least):
     if counts and n_best > least:
         enter()
     while stack and n_best > least and seen < 32 * nodes:
-        options, largest = stack[-1]
-        waste, around = next(options, (capacity, ()))
+        node = stack[-1]
+        largest = node[0]
+        if node[2] is None:
+            node[2] = islice(listed(largest), node[1], None)
+        waste, around = next(node[2], (capacity, ()))
+        node[1] += 1
         allowed = (n_best - 1) * capacity - total - wasted
         if waste > min(allowed, capacity - 1):  # the rest wastes more still
             stack.pop()
