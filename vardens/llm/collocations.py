@@ -45,6 +45,8 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Occurrences of pairs in a bucket, word buckets, rows in one file of runs.
 BUCKET, WORD_BUCKETS, ROWS_A_FILE = 1 << 19, 4096, 4096
+#: Text of a run (of all languages of a batch).
+RUN_BYTES = 4 << 20
 #: Frequent words up to which they are broadcast instead of shuffled with the runs' words.
 MAX_BROADCAST_WORDS = 500_000
 
@@ -92,7 +94,7 @@ def runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Dat
         for batch in batches:
             langs = batch.column(1).dictionary_encode()
             of_row = np.asarray(langs.indices, np.int64)
-            for first, column in pieces(batch.column(0)):
+            for first, column in pieces(batch.column(0), RUN_BYTES):
                 distinct, codes, row, piece = _words(column)
                 of = of_row[first + row]
                 for k in np.unique(of):

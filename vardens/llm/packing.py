@@ -44,6 +44,8 @@ from .common import arrow_map, bounded_map, pieces
 CAPACITY, END, NODES = 2048, 0, 4_000
 #: Chunks whose ids a task remembers before it starts afresh.
 KNOWN = 1_000_000
+#: New words that are encoded as one text.
+RUN_WORDS = 4096
 #: Nodes whose fillings are kept ready.
 LIVE = 32
 #: Parts of the possible uses of a filling that the searches take.
@@ -52,6 +54,8 @@ SHARES = (1, 4)
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Chunks whose ids a task remembers before it starts afresh.
 KNOWN = 1_000_000
+#: New words that are encoded as one text.
+RUN_WORDS = 4096
 #: Nodes whose fillings are kept ready.
 LIVE = 32
 #: Parts of the possible uses of a filling that the searches take.
@@ -109,6 +113,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: whether a token begins with a blank (which byte-level vocabularies spell so)
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -121,12 +129,26 @@ class Encoder:
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         return flat, sizes
 
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = ["".join(words[k : k + RUN_WORDS]) for k in range(0, len(words), RUN_WORDS)]
+        flat, _ = self._ids(texts)
+        starts = np.flatnonzero(self.opens[flat])
+        if len(starts) != len(words):  # another vocabulary than a byte-level one
+            return self._ids(words)
+        return flat, np.diff(np.append(starts, len(flat)))
+
     def _look_up(self, chunks: list[str]) -> np.ndarray:
         """Numbers of chunks among the known ones; new ones are encoded and remembered."""
         if len(self.known) > KNOWN:
             self._forget()
         new = [c for c in chunks if c not in self.known]
-        flat, sizes = self._ids(new)
+        # a blank and a word: such chunks can stand in one text, where only their first tokens begin with a blank
+        words = [c for c in new if c[:1] == " " and [c[1:]] == c.split()]
+        held = set(words)
+        new = words + [c for c in new if c not in held]
+        flat, sizes = self._word_ids(words)
+        others = self._ids(new[len(words) :])
+        flat, sizes = np.concatenate([flat, others[0]]), np.concatenate([sizes, others[1]])
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
         return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
