@@ -16,8 +16,9 @@ pair of the ids (32 bits each) of those two: 64 bits, nothing lost.
    (``filter_bytes``).  The filter gives back every pair and count exactly.
 4. ``merge``: the sorted filters of a bucket from all runs are merged and summed.  Pairs
    that reach ``min_count`` are phrases of the next round, and each run is told the ids of
-   those that it holds.  A task holds one bucket, of about ``BUCKET`` occurrences.  Runs are
-   tables in buckets: the ids travel to them, the texts are never shuffled.
+   those that it holds.  A task holds one bucket at a time; there are as many as
+   ``spark.sql.shuffle.partitions`` (the next power of two) unless they would hold fewer than
+   ``BUCKET`` occurrences, so that setting sizes them.  Runs are tables in buckets: the ids travel to them, the texts are never shuffled.
 
 Frequent phrases alone are then joined to their parts, scored and ranked.
 
@@ -43,8 +44,8 @@ from .common import bounded_map, pieces
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-#: Occurrences of pairs in a bucket, word buckets, rows in one file of runs.
-BUCKET, WORD_BUCKETS, ROWS_A_FILE = 1 << 19, 4096, 4096
+#: Least occurrences of pairs in a bucket, word buckets, rows in one file of runs.
+BUCKET, WORD_BUCKETS, ROWS_A_FILE = 1 << 17, 4096, 4096
 #: Text of a run (of all languages of a batch).
 RUN_BYTES = 4 << 20
 #: Frequent words up to which they are broadcast instead of shuffled with the runs' words.
@@ -333,7 +334,7 @@ def frequent_phrases(
     )
     totals = checkpoint(cut.select("lang", F.expr("aggregate(counts, 0L, (a, x) -> a + x)").alias("c")).groupBy("lang").agg(F.sum("c").alias("n")))
     tokens = totals.agg(F.sum("n")).first()[0] or 0
-    bits = max(1, (tokens // BUCKET).bit_length())
+    bits = max(1, min(tokens // BUCKET, store.buckets - 1).bit_length())
 
     counted = held.groupBy("lang", "word").agg(F.sum("c").alias("a")).filter(F.col("a") >= min_count)
     bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(WORD_BUCKETS))
