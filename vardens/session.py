@@ -54,6 +54,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables that this process has written by ``checkpoint`` and not removed.
+_written: list[str] = []
+
+
+def remove_checkpoints(spark: SparkSession) -> int:
+    """Delete the tables that ``checkpoint`` has written in this process; their number.
+
+    For the end of a job: frames that still read them fail afterwards.
+    """
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def checkpoint(df):
     """Write ``df`` as Parquet under the reliable checkpoint folder and read it back.
 
@@ -64,4 +80,5 @@ def checkpoint(df):
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
