@@ -1,7 +1,8 @@
 """Embedding whitening by the exact characteristic polynomial of the integer scatter.
 
-Every entry ``c`` becomes the integer ``x = floor(scale * c) + shift``; the *fit list* is
-each distinct ``x`` vector once.  ``fit`` then works in integers as long as it can:
+Every entry ``c`` becomes the integer ``x = floor(scale * c)`` plus a constant, which cancels
+in every result and is left out below; the *fit list* is each distinct ``x`` vector once.
+``fit`` then works in integers as long as it can:
 
 1. Spark packs the vectors (one byte an entry where that is enough), keeps each once and
    sums ``x`` and ``x x'`` exactly, task by task;
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from .common import arrow_map, bounded_map
 
-SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 16
+SCALE, COMPONENTS = 64, 16
 #: Bits below the trace to which roots are isolated.
 PRECISION = 200
 LIMB = 40
@@ -47,13 +48,13 @@ LIMB = 40
 
 @dataclass
 class Whitening:
-    """``roots`` are the eigenvalues of ``M``, as integers of ``PRECISION``-scaled units."""
+    """What ``fit`` finds; ``roots`` are the eigenvalues of ``M``, one for each row of ``vectors``."""
 
     dim: int
     n: int
-    sums: list[int]  # of y = x - shift
-    vectors: np.ndarray  # one row a component
-    roots: np.ndarray  # eigenvalues of M as doubles
+    sums: list[int]
+    vectors: np.ndarray
+    roots: np.ndarray
     explained: np.ndarray
     scale: int
     identity_error: float | None = None
