@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import check_eps
@@ -21,6 +21,7 @@ from ..functions.geometry import (
     offsets,
 )
 from ..session import checkpoint
+from .box_tree import nearest
 from .grid import build_grid, point_cols, with_valid
 from .skew import DEFAULT_HOT_ROWS, DEFAULT_MAX_BROADCAST_ROWS
 
@@ -167,33 +168,6 @@ def count_within(
     return allp.groupBy(F.col("pid").alias("id")).agg(*[F.sum(f"n{i}").cast("long").alias(f"n{i}") for i in range(nr)])
 
 
-def _knn_round(v: DataFrame, probes: DataFrame, r: float, k: int, hot_rows, max_broadcast_rows, final: bool):
-    """Candidates within r of the probing points, and the probes that still lack k."""
-    g = build_grid(v, r, hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows, check=False)
-    pr = probes.select("id", *g.cols, *[F.floor(F.col(x) / F.lit(g.side)).cast("long").alias(c) for x, c in zip(g.cols, g.cells)])
-    pr = g.probe(pr)
-    need = pr.select(*g.tcells).distinct()
-    tg = g.targets(g.pts)
-    if need.count() <= max_broadcast_rows:  # probed cells only, when that list is small
-        tg = tg.join(F.broadcast(need), on=g.tcells, how="left_semi")
-    cand = (
-        pr.join(tg, on=g.keys)
-        .filter(F.col("pid") != F.col("qid"))
-        .select("pid", "qid", g.pair_d2().alias("d2"))
-        .filter(F.col("d2") <= F.lit(g.r2))
-    )
-    cand = checkpoint(cand)
-    if final:
-        return cand, probes.limit(0)
-    enough = cand.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(F.col("pid").alias("id"))
-    return cand, checkpoint(probes.join(enough, "id", "left_anti"))
-
-
-# Radius growth per kNN round: fewer rounds (each scans the targets once) against more
-# candidates for the points that need the larger radius.
-GROWTH = 4
-
-
 def knn(
     points: DataFrame,
     k: int,
@@ -203,71 +177,18 @@ def knn(
     """C5: ``id, rank, nbr, dist``: the exact ``k`` nearest neighbours of every valid point
     (self excluded, ties by neighbour id), 2-3-d.
 
-    Radii grow by ``GROWTH`` per round from a small ``r_min``.  Each point starts at the level where its own
-    k-distance is expected, estimated from how many points share its cell on a coarse
-    grid, so dense regions finish at a small radius and sparse points skip early rounds.
-    In round j the active unfinished points probe the contraction grid of
-    ``r_min * GROWTH^j``; a point with k neighbours within that radius is done (those are
-    exactly its k nearest).  An unfinished point has fewer than k points in its own cell,
-    so a cell receives at most ``k * 5^d`` probes.  Targets are restricted to the probed
-    cells (broadcast after a size check).  Once the radius exceeds the diameter of the
-    data, every remaining point finishes.
+    Branch and bound over a tree of counted boxes (``box_tree``): box counts bound each
+    point's k-th distance before any point is compared, places that many points share are
+    one location, and only the ``k`` neighbours of a point are written.
     """
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be an integer >= 1")
     cols = point_cols(points)
-    d = len(cols)
     v = with_valid(points, cols).filter(F.col("valid")).select("id", *cols)
-    st = v.agg(
-        F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
-        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)],
-    ).first()
-    if not st["n"]:
+    found = nearest(v, cols, k, hot_rows, max_broadcast_rows)
+    if found is None:
         return v.select("id", F.lit(1).alias("rank"), F.col("id").alias("nbr"), F.lit(0.0).alias("dist")).limit(0)
-    diam = math.sqrt(sum((st[f"hi{i}"] - st[f"lo{i}"]) ** 2 for i in range(d)))
-    vol = 1.0
-    for i in range(d):
-        vol *= max(st[f"hi{i}"] - st[f"lo{i}"], 1e-12)
-    r_glob = max((vol * k / st["n"]) ** (1.0 / d), 1e-9)
-    # per-point start level from the occupancy of a coarse cell (side ~ global estimate)
-    g0 = build_grid(v, r_glob, hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows, check=False)
-    r_min = r_glob / 8.0
-    est = F.lit(g0.side) * F.pow(F.lit(float(k + 1)) / F.col("n"), F.lit(1.0 / d))
-    level = F.greatest(F.lit(0), F.ceil(F.log(float(GROWTH), est / F.lit(r_min)))).cast("int")
-    start = checkpoint(g0.pts.select("id", *cols, level.alias("level")))
-    hist = {r["level"]: r["n"] for r in start.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = []
-    carry = None  # points left over from the previous round, moved one level up
-    n_carry = 0
-    j = 0
-    while True:
-        r = r_min * (float(GROWTH) ** j)
-        final = r >= diam
-        if final:
-            active = start.filter(F.col("level") >= j)
-            active = active if carry is None else active.unionByName(carry)
-        else:
-            active = start.filter(F.col("level") == j) if hist.get(j) else None
-            if carry is not None and n_carry:
-                active = carry if active is None else active.unionByName(carry)
-        if active is not None:
-            probes = active.select("id", *cols)
-            cand, rest = _knn_round(v, probes, max(r, diam * (1 + 1e-6)) if final else r, k, hot_rows, max_broadcast_rows, final)
-            done = probes.select(F.col("id").alias("pid")).join(rest.select(F.col("id").alias("pid")), "pid", "left_anti")
-            w = Window.partitionBy("pid").orderBy("d2", "qid")
-            top = cand.join(done, "pid", "left_semi").withColumn("rank", F.row_number().over(w))
-            parts.append(checkpoint(top.filter(F.col("rank") <= k)))
-            if final:
-                break
-            carry = rest.select("id", *cols, F.lit(j + 1).alias("level"))
-            n_carry = rest.count()  # Parquet footer count
-        if not final and n_carry == 0 and not any(lv > j for lv in hist):
-            break
-        j += 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.col("pid").alias("id"), "rank", F.col("qid").alias("nbr"), F.sqrt("d2").alias("dist"))
+    return found.select("id", "rank", "nbr", F.sqrt("d2").alias("dist"))
 
 
 # ------------------------------------------------------------------- high dimension
