@@ -111,6 +111,8 @@ def build_tree(points: DataFrame, cols: list[str], keep: int, start_at: int, lea
     ``starters``.  The children of a node hold fewer together than ``4^d * start_at``.
     """
     d = len(cols)
+    if d > 3:
+        raise ValueError("a tree takes 1 to 3 coordinate columns")
     locs = checkpoint(_locations(points, cols, keep))
     st = locs.agg(
         F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"a{i}") for i, c in enumerate(cols)],
