@@ -96,6 +96,22 @@ def test_links_of_a_unit_by_brute_force():
     assert parts(found) == parts(close) and len(found) <= 59
 
 
+def test_jaccard_link_through_a_text_without_id(spark):
+    words = [f"w{i}" for i in range(90)]
+    left, middle, right = (" ".join(words[a : a + 60]) for a in (0, 5, 10))  # left and right are not linked
+    lone = " ".join(f"z{i}" for i in range(30))
+    schema = "doc_id long, text string"
+    for rows, want in (
+        ([(1, left), (9, middle), (2, right)], {1: 1, 9: 1, 2: 1}),
+        ([(1, left), (None, middle), (2, right)], {1: 1, None: 1, 2: 1}),
+        ([(1, left), (None, middle), (None, middle), (2, right)], {1: 1, None: 1, 2: 1}),
+        ([(None, left), (None, middle), (2, right)], {None: 2, 2: 2}),
+        ([(1, left), (2, right), (None, lone)], {1: 1, 2: 2, None: None}),
+    ):
+        got = jaccard_join.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+
+
 def test_jaccard_odd_rows(spark, odd_docs, no_docs):
     got = jaccard_join.near_duplicates(odd_docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in odd_docs.collect())
@@ -209,6 +225,37 @@ def test_salvage_of_odd_bytes():
     assert ids_and_gaps(wrong + record(2)) == (["2"], [(0, len(wrong))])
 
 
+def test_salvage_inside_a_member():
+    """One bad record of a member loses itself alone; the next version line is found."""
+    bodies = [record(i, f"body {i} ".encode() * 20) for i in range(3)]
+    bad = bytearray(bodies[1])
+    bad[-30] ^= 1
+    ids, gaps = ids_and_gaps(warc.gzip_member(bodies[0] + bytes(bad) + bodies[2]) + warc.gzip_member(record(9)))
+    assert ids == list("029") and len(gaps) == 1 and gaps[0] == (0, len(bad))
+    reason = next(r[3] for r in warc.salvage(warc.gzip_member(bodies[0] + bytes(bad))) if r[0] == "gap")
+    assert reason == f"block digest, from inflated byte {len(bodies[0])}"
+
+
+def test_salvage_of_a_member_that_breaks_off():
+    rng = np.random.default_rng(1)
+    bodies = [record(i, rng.integers(97, 123, 3000, dtype=np.uint8).tobytes()) for i in range(50)]
+    whole = warc.gzip_member(b"".join(bodies))
+    cut = whole[: len(whole) * 9 // 10]
+    for data in (cut, cut + warc.gzip_member(record(77))):
+        ids, gaps = ids_and_gaps(data)
+        first = [i for i in ids if i != "77"]
+        assert first == [str(i) for i in range(len(first))] and 43 <= len(first) <= 45
+        assert ("77" in ids) == (data is not cut) and gaps == [(0, len(cut))]
+    flipped = bytearray(whole)
+    flipped[-8] ^= 1  # the member's sum is wrong, every record's own digest is right
+    ids, gaps = ids_and_gaps(bytes(flipped))
+    assert ids == [str(i) for i in range(50)] and gaps == [(0, len(whole))]
+    no_digest = [b.replace(b"WARC-Block-Digest", b"X-Block-Digest-Was") for b in bodies[:3]]
+    unsure = bytearray(warc.gzip_member(b"".join(no_digest)))
+    unsure[-8] ^= 1
+    assert ids_and_gaps(bytes(unsure)) == ([], [(0, len(unsure))])
+
+
 def test_archives_on_disk_are_gzip(spark, tmp_path):
     pages = table(spark, SF, "pages")
     path = warc.write_archives(pages, str(tmp_path / "w"), file_rows=30)

@@ -4,13 +4,16 @@ Writing: one gzip member per record, made in Arrow batches and saved with Spark'
 text writer, a zero byte after each member (gzip readers skip zero padding).  Payloads
 that occur more than once are written once, as a ``response``; the others ``revisit`` it.
 First occurrences come from a ``groupBy`` on the payload's SHA-256 that moves digests and
-ids only; payloads never leave their rows.
+ids only.  The list of shared digests is then joined to the pages: pages stay where they are
+when Spark broadcasts it, and are shuffled by digest when it is too long for that.
 
 Reading: each archive file is walked member by member.  A member is taken only when it
 inflates, its CRC holds, its header block parses, ``Content-Length`` fits and the block
 digest agrees.  After any failed check the reader looks for the next gzip magic or
 ``WARC/`` version line, resumes there, recovers every later record and logs the bytes in
-between as a quarantined gap.  Plain (uncompressed) records are read as well.  A file is
+between as a quarantined gap.  Members of several records are searched inside: one bad
+record loses itself alone, and of a member that breaks off, the records before the break
+are kept if their own digests agree.  Plain (uncompressed) records are read as well.  A file is
 one row, so a task holds one file; ``write_archives`` bounds their size by ``file_rows``.
 
 Defined cases: a null payload is empty; payloads shorter than ``MIN_SHARED`` bytes are
@@ -135,51 +138,106 @@ def _parse(block: bytes, at: int) -> tuple[dict, bytes, int]:
     return head, body, stop + 4
 
 
-def _inflate(data: bytes, at: int, step: int = 1 << 15) -> tuple[bytes, int]:
-    """The inflated gzip member at ``at`` and its end, fed in steps so that the rest of
-    the file is never copied."""
+def _inflate(data: bytes, at: int, step: int = 1 << 15) -> tuple[bytes, int, str]:
+    """The inflated gzip member at ``at``, its end, and what failed (empty: nothing), fed
+    in steps so that the rest of the file is never copied.
+
+    Of a member that fails, all bytes that inflate before the damage are returned: the
+    step that fails is fed again byte by byte.
+    """
     z, parts, end = zlib.decompressobj(31), [], at
     while not z.eof:
         piece = data[end : end + step]
         if not piece:
-            raise ValueError("truncated member")
-        parts.append(z.decompress(piece))
+            return b"".join(parts), end, "truncated member"
+        before = z.copy() if end > at else zlib.decompressobj(31)
+        try:
+            parts.append(z.decompress(piece))
+        except zlib.error as e:
+            try:
+                for k in range(len(piece)):
+                    parts.append(before.decompress(piece[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), end, str(e)
         end += len(piece)
-    return b"".join(parts), end - len(z.unused_data)
+    return b"".join(parts), end - len(z.unused_data), ""
+
+
+def _records(block: bytes, damaged: bool):
+    """``(headers, payload)`` of the records of an inflated member that pass, and
+    ``(None, (start, length, reason))`` for the stretches between them.
+
+    After a failed check the search goes on at the next version line.  In a damaged
+    member no sum vouches for the bytes, so there a record needs a digest that agrees.
+    """
+    inner, lost, why = 0, None, ""
+    while inner < len(block):
+        try:
+            head, body, end = _parse(block, inner)
+            if damaged and not head.get("warc-block-digest", "").startswith("sha256:"):
+                raise ValueError("no digest in a damaged member")
+        except ValueError as e:
+            if lost is None:
+                lost, why = inner, str(e)
+            ahead = VERSION_LINE.search(block, inner + 1)
+            inner = ahead.start() if ahead else len(block)
+            continue
+        if lost is not None:
+            yield None, (lost, inner - lost, why)
+            lost = None
+        yield head, body
+        inner = end
+    if lost is not None:
+        yield None, (lost, len(block) - lost, why)
 
 
 def salvage(data: bytes):
     """Walk one archive: ``("record", offset, length, headers, payload)`` for every record
     that passes all checks, ``("gap", offset, length, reason, None)`` for every stretch
-    of bytes that belongs to none."""
+    of bytes that belongs to none.
+
+    A stretch lost inside a member has the member's offset and its length and start in
+    inflated bytes; a member that does not inflate to its end is a gap up to the next
+    start, its records that pass (each by its own digest) come before that gap.
+    """
     at, gap, why = 0, None, ""
     n = len(data)
     while at < n:
         if data[at] == 0 and gap is None:  # padding between members
             at += 1
             continue
-        try:
-            if data.startswith(GZIP_MAGIC, at):
-                block, end = _inflate(data, at)
-                found, inner = [], 0
-                while inner < len(block):
-                    head, body, inner = _parse(block, inner)
-                    found.append((head, body))
-            else:
+        failed, found = "", []
+        if data.startswith(GZIP_MAGIC, at):
+            block, end, failed = _inflate(data, at)
+            found = list(_records(block, bool(failed)))
+            if not failed and all(head is None for head, _ in found):  # sound, but no record
+                failed = found[0][1][2] if found else "empty member"
+        else:
+            try:
                 head, body, end = _parse(data, at)
                 found = [(head, body)]
-        except (ValueError, zlib.error) as e:
-            if gap is None:
-                gap, why = at, str(e)
-            ahead = NEXT.search(data, at + 1)
-            at = ahead.start() if ahead else n
-            continue
-        if gap is not None:
+            except ValueError as e:
+                failed = str(e)
+        good = [f for f in found if f[0] is not None]
+        if gap is not None and (good or not failed):
             yield "gap", gap, at - gap, why, None
             gap = None
-        for head, body in found:
-            yield "record", at, end - at, head, body
-        at = end
+        ahead = at
+        if failed:
+            ahead = m.start() if (m := NEXT.search(data, at + 1)) else n
+        for head, body in found if good else []:
+            if head is not None:
+                yield "record", at, (ahead if failed else end) - at, head, body
+            elif not failed:
+                start, length, reason = body
+                yield "gap", at, length, f"{reason}, from inflated byte {start}", None
+        if failed:
+            if gap is None:
+                gap, why = at, f"{failed}, {len(good)} records kept" if good else failed
+            at = ahead
+        else:
+            at = end
     if gap is not None:
         yield "gap", gap, n - gap, why, None
 
