@@ -29,7 +29,7 @@ def test_eps_join_grid(spark, hot_rows):
 @pytest.mark.parametrize("hot_rows", [2_000_000, 5])
 def test_neighbour_counts(spark, hot_rows):
     p, ids, x = blob(spark, dup=40)
-    got = {r["id"]: (r["n0"], r["n1"]) for r in neighbour_counts(p, [0.2, 0.45], hot_rows=hot_rows, small_cell_rows=4).collect()}
+    got = {r["id"]: (r["n0"], r["n1"]) for r in neighbour_counts(p, [0.2, 0.45], hot_rows=hot_rows, leaf=4).collect()}
     d2 = d2_matrix(x)
     want = {int(ids[i]): (int((d2[i] <= 0.04).sum()), int((d2[i] <= 0.45 * 0.45).sum())) for i in range(len(x))}
     assert got == want

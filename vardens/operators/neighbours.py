@@ -21,7 +21,8 @@ from ..functions.geometry import (
     offsets,
 )
 from ..session import checkpoint
-from .box_tree import nearest
+from .box_pairs import counts_within
+from .box_tree import LEAF, nearest
 from .grid import build_grid, point_cols, with_valid
 from .skew import DEFAULT_HOT_ROWS, DEFAULT_MAX_BROADCAST_ROWS
 
@@ -58,40 +59,45 @@ def eps_join_grid(
     return both.withColumn("dist", F.sqrt("d2"))
 
 
-# Target cells with at most this many points are compared point by point; larger ones
-# are first summarised per sub-cell.
-SMALL_CELL_ROWS = 32
-
-
 def neighbour_counts(
     points: DataFrame,
     radii: list[float],
     hot_rows: int = DEFAULT_HOT_ROWS,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    subdivisions: int | None = None,
-    small_cell_rows: int = SMALL_CELL_ROWS,
+    leaf: int = LEAF,
 ) -> DataFrame:
     """Exact neighbourhood sizes ``id, n0, n1, ...`` (self included) of every valid point
-    for each radius in ``radii``, from one grid at the largest radius.
-
-    Each point probes the cells around it.  A cell holding at most ``small_cell_rows``
-    points is compared point by point.  A larger cell is summarised per sub-cell (count +
-    bounding box): the probe adds a sub-cell's whole count when the box's farthest corner
-    is within the radius, skips it when the nearest corner is beyond, and compares point
-    by point only inside sub-cells that straddle the radius.  Whole sub-cells cost the
-    same however many points pile up in them; what remains is the share of points in
-    straddling sub-cells, which does grow with density.  Probe and target sides are both salted by hot cell.
+    for each radius in ``radii``, 1-3-d.
+
+    Two trees of counted boxes are descended together (``box_pairs``): boxes wholly within
+    a radius are added by count, for all points of the asking box at once, and points are
+    compared only with leaves of ``leaf`` locations that their circle crosses.
     """
     radii = [check_eps(r, "radius") for r in radii]
-    g = build_grid(points, max(radii), hot_rows=hot_rows, max_broadcast_rows=max_broadcast_rows)
-    return count_within(g, g.pts, radii, subdivisions, small_cell_rows)
+    cols = point_cols(points)
+    v = with_valid(points, cols).filter(F.col("valid")).select("id", *cols)
+    found = counts_within(v, cols, radii, hot_rows, max_broadcast_rows, leaf)
+    if found is None:
+        return v.select("id", *[F.lit(0).cast("long").alias(f"n{i}") for i in range(len(radii))])
+    return found
+
+
+# Target cells with at most this many points are compared point by point; larger ones
+# are first summarised per sub-cell.
+SMALL_CELL_ROWS = 32
 
 
 def count_within(
     g, probe_pts: DataFrame, radii: list[float], subdivisions: int | None = None, small_cell_rows: int = SMALL_CELL_ROWS
 ) -> DataFrame:
     """``id, n0, ...``: exact counts of ``g.pts`` within each radius (<= the grid's) of
-    every row of ``probe_pts`` (``id, x.., c.., salt``), see ``neighbour_counts``."""
+    every row of ``probe_pts`` (``id, x.., c.., salt``), where these are points of sparse
+    cells (E6): a cell meets few probes, however full it is.
+
+    A cell of at most ``small_cell_rows`` points is compared point by point.  A larger one is
+    summarised per sub-cell (count and bounding box): whole sub-cells are added by count, and
+    only those that straddle the radius are compared point by point.  Both sides are salted
+    by hot cell."""
     m = subdivisions or (4 if g.d <= 2 else 2)
     subs = [f"s{i}" for i in range(g.d)]
     bsubs = [f"b{x}" for x in subs]
