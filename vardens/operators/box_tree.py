@@ -32,9 +32,11 @@ MAX_LEVEL = 24
 @dataclass
 class BoxTree:
     """``nodes``: ``lv, z.., w`` (points), ``nloc, lo.., hi.., locs, leaf, starters``;
-    ``locs``: every location (coordinates, ``m`` points, smallest ``ids``)."""
+    ``locs``: every location (coordinates, ``m`` points, smallest ``ids``); ``levels``: the
+    nodes of each level that is built."""
 
     nodes: DataFrame
+    levels: dict[int, DataFrame]
     locs: DataFrame
     cols: list[str]
     low: list[float]
@@ -103,27 +105,40 @@ def _locations(points: DataFrame, cols: list[str], keep: int) -> DataFrame:
     return points.groupBy(*cols).agg(F.count(F.lit(1)).alias("m")).join(ids, on=cols)
 
 
-def build_tree(points: DataFrame, cols: list[str], keep: int, start_at: int, leaf: int = LEAF) -> BoxTree | None:
+def bounding_cube(points: DataFrame, cols: list[str]) -> tuple[list[float], float]:
+    """Low corner and side of the cube around ``points`` (a unit cube without any)."""
+    st = points.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    if st["a0"] is None:
+        return [0.0] * len(cols), 1.0
+    low = [st[f"a{i}"] + 0.0 for i in range(len(cols))]
+    span = max(st[f"b{i}"] - a for i, a in enumerate(low)) or 1.0
+    if not math.isfinite(span):
+        raise ValueError("coordinates are too far apart for a double")
+    return low, span
+
+
+def build_tree(
+    points: DataFrame, cols: list[str], keep: int, start_at: int, leaf: int = LEAF,
+    cube: tuple[list[float], float] | None = None, first: int = 0,
+) -> BoxTree | None:
     """The tree over ``points`` (``id``, finite ``cols``); None when there are none.
 
     A location of fewer than ``start_at`` points *starts* at its deepest node with
     ``start_at`` points or more (the root, if no node has): it stands in that node's
     ``starters``.  The children of a node hold fewer together than ``4^d * start_at``.
+    ``cube`` (low corner, side) is the root's cell, by default the data's own;
+    levels above ``first`` are not built.
     """
     d = len(cols)
     if d > 3:
         raise ValueError("a tree takes 1 to 3 coordinate columns")
     locs = checkpoint(_locations(points, cols, keep))
-    st = locs.agg(
-        F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"a{i}") for i, c in enumerate(cols)],
-        *[F.max(c).alias(f"b{i}") for i, c in enumerate(cols)],
-    ).first()
-    if not st["n"]:
+    if cube is None:
+        cube = bounding_cube(locs, cols)
+    n = locs.count()
+    if not n:
         return None
-    low = [st[f"a{i}"] + 0.0 for i in range(d)]
-    span = max(st[f"b{i}"] - st[f"a{i}"] for i in range(d)) or 1.0
-    if not math.isfinite(span):
-        raise ValueError("coordinates are too far apart for a double")
+    low, span = cube
     top = 2 ** (2 * MAX_LEVEL)
     fine = [
         F.least(F.floor((F.col(c) - F.lit(a)) / F.lit(span) * F.lit(float(top))).cast("long"), F.lit(top - 1))
@@ -135,7 +150,7 @@ def build_tree(points: DataFrame, cols: list[str], keep: int, start_at: int, lea
         return [F.shiftright(f, 2 * (MAX_LEVEL - level)).alias(n) for f, n in zip(fine, z)]
 
     # the first level at which every cell is a leaf
-    depth = min(MAX_LEVEL, max(1, math.ceil(math.log(max(st["n"] / leaf, 1.0), 4**d)) + 1))
+    depth = min(MAX_LEVEL, max(1, first, math.ceil(math.log(max(n / leaf, 1.0), 4**d)) + 1))
     while depth < MAX_LEVEL:
         full = locs.groupBy(*cells(depth)).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf)
         if full.isEmpty():
@@ -148,9 +163,9 @@ def build_tree(points: DataFrame, cols: list[str], keep: int, start_at: int, lea
         F.sum("m").alias("w"), F.count(F.lit(1)).alias("nloc"), *[F.min(c).alias(a) for c, a in zip(cols, lo)],
         *[F.max(c).alias(b) for c, b in zip(cols, hi)], F.collect_list(one).alias("locs"),
     ).withColumn("pend", F.filter("locs", lambda s: s["m"] < start_at))
-    tables = []
-    for lv in range(depth, -1, -1):
-        begins = F.lit(True) if lv == 0 else F.col("w") >= F.lit(start_at)
+    tables = {}
+    for lv in range(depth, first - 1, -1):
+        begins = F.lit(True) if lv == first else F.col("w") >= F.lit(start_at)
         none = F.filter("pend", lambda s: F.lit(False))
         is_leaf = F.lit(True) if lv == depth else F.col("nloc") <= F.lit(leaf)
         made = checkpoint(
@@ -160,13 +175,13 @@ def build_tree(points: DataFrame, cols: list[str], keep: int, start_at: int, lea
                 F.when(begins, none).otherwise(F.col("pend")).alias("pend"),
             )
         )
-        tables.append(made.drop("pend"))
+        tables[lv] = made.drop("pend")
         level = made.groupBy(*[F.shiftright(c, 2).alias(c) for c in z]).agg(
             F.sum("w").alias("w"), F.sum("nloc").alias("nloc"), *[F.min(a).alias(a) for a in lo],
             *[F.max(b).alias(b) for b in hi], F.flatten(F.collect_list("locs")).alias("locs"),
             F.flatten(F.collect_list("pend")).alias("pend"),
         )
-    return BoxTree(reduce(DataFrame.unionByName, tables), locs, cols, low, span, depth)
+    return BoxTree(reduce(DataFrame.unionByName, tables.values()), tables, locs, cols, low, span, depth)
 
 
 def _closer(tree: BoxTree, state: DataFrame, k: int) -> DataFrame:
