@@ -120,7 +120,7 @@ def assign_level(kdist: DataFrame, levels: DataFrame) -> DataFrame:
 
 def density_ratio(points: DataFrame, eps: float, eta: float, **kw) -> DataFrame:
     """D4: ``id, n_eps, n_eta, ratio = n_eps / n_eta`` (``eta > eps``), both exact counts
-    from one grid at eta (``neighbour_counts``)."""
+    from one descent of the box tree (``neighbour_counts``)."""
     eps, eta = check_eps(eps), check_eps(eta, "eta")
     if eta <= eps:
         raise ValueError("eta must be larger than eps")
