@@ -401,14 +401,14 @@ _DB = "WITH RECURSIVE pts AS (" + O.EVENT_POINTS_SQL + "),\n" + O.dbscan_ctes(""
 
 
 def _pairs_path(spark, sf_dir):
-    """Explicit pair table + counts + cores for the textbook steps E1-E5."""
+    """Pairs (factored) + counts + cores for the textbook steps E1-E5."""
     from ..operators.cluster import core_points, neighbour_count
     from ..operators.neighbours import eps_join_grid
     from ..session import checkpoint
 
     pts = _events(spark, sf_dir)
-    pairs = checkpoint(eps_join_grid(pts, DBSCAN_EPS))
-    counts = neighbour_count(pts, pairs)
+    pairs = eps_join_grid(pts, DBSCAN_EPS, factored=True)
+    counts = neighbour_count(pts, pairs, enough=DBSCAN_MIN_PTS)
     cores = checkpoint(core_points(counts, DBSCAN_MIN_PTS))
     return pts, pairs, cores
 
@@ -440,9 +440,10 @@ def q_cc(spark, sf_dir):
 def q_border(spark, sf_dir):
     from ..operators.cluster import attach_border, core_edges
     from ..operators.components import connected_components
+    from ..session import checkpoint
 
     pts, pairs, cores = _pairs_path(spark, sf_dir)
-    comps = connected_components(cores, core_edges(pairs, cores))
+    comps = checkpoint(connected_components(cores, core_edges(pairs, cores)))
     return attach_border(pairs, cores, comps)
 
 
