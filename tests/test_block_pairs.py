@@ -23,6 +23,13 @@ def test_clusters_equal_those_of_the_listed_pairs(spark, monkeypatch, travel):
     assert sorted(tuple(r) for r in dbscan_from_pairs(p, kept, 4).collect()) == want
 
 
+def test_repeated_ids_give_the_rows_of_the_listed_pairs(spark):
+    rows = [(1, 0.0), (1, 0.0), (2, 0.1), (3, 0.2), (4, 0.65), (4, 0.65), (5, 3.0)]
+    p = spark.createDataFrame([(i, [v, 0.0], True) for i, v in rows], "id long, features array<double>, valid boolean")
+    want = sorted(tuple(r) for r in dbscan_from_pairs(p, eps_join_blocked(p, 0.5).persist(), 4).collect())
+    assert sorted(tuple(r) for r in dbscan_from_pairs(p, B.BlockPairs(p, 0.5), 4).collect()) == want
+
+
 def test_a_crowd_of_arrays_writes_no_pairs(spark):
     p = _points(spark, np.random.default_rng(6).normal(0, 0.001, (300, 8)))
     before = len(session._written)
