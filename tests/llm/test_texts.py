@@ -164,6 +164,32 @@ def test_texts_come_back(vocabulary):
         at += k
 
 
+def test_trie_steps_equal_a_search(vocabulary):
+    """Children by hashed slots, also where several keys share one."""
+    v, rng = vocabulary, np.random.default_rng(5)
+    shared = np.flatnonzero(v.slot_key[v._slots(v.keys)] == sentencepiece_sampling.SHARED)
+    assert len(shared)
+    keys = np.concatenate([v.keys, v.keys[shared] + 1, rng.integers(0, v.keys[-1] + 9, 50_000)])
+    go, child = v.step(keys >> 21, keys & (1 << 21) - 1)
+    want = dict(zip(v.keys.tolist(), v.next.tolist()))
+    assert go.tolist() == [k in want for k in keys.tolist()]
+    assert child.tolist() == [want[k] for k in keys.tolist() if k in want]
+
+
+def test_a_chunk_of_texts_takes_bounded_memory(vocabulary):
+    """op4 and the pipeline's encoding: what one call holds beside its texts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    size = sentencepiece_sampling.CHUNK_BYTES
+    text = " ".join("".join(map(chr, rng.integers(97, 117, n))) for n in rng.integers(3, 10, size // 7))[:size]
+    tracemalloc.start()
+    sentencepiece_sampling.sample([text], np.zeros(1, np.uint64), vocabulary)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 320 << 20
+
+
 def test_sampling_depends_on_the_key_alone(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text")
     one = {r.doc_id: r.ids for r in sentencepiece_sampling.encode(docs).collect()}

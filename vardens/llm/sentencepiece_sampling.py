@@ -38,7 +38,8 @@ SEED = 20_240
 SHARPNESS = 1.0
 ZIPF_SHIFT = 2.7
 BLANK = "▁"
-CHUNK_BYTES, DECODE_ROWS = 3 << 19, 500
+CHUNK_BYTES, DECODE_ROWS = 1 << 20, 500
+SHARED = -2  # of a slot: several keys have this hash
 _STEP, _SEGMENT = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
 
 
@@ -78,12 +79,36 @@ class Vocabulary:
         keys = np.array([(s << 21) | c for s, c in trie], np.int64)
         order = np.argsort(keys)
         self.keys, self.next = keys[order], np.array(list(trie.values()), np.int64)[order]
+        # a slot per hash: the only key there, or SHARED where several meet
+        self.bits = max(4, len(keys).bit_length() + 2)
+        slot = self._slots(self.keys)
+        self.slot_key = np.full(1 << self.bits, -1, np.int64)
+        self.slot_next = np.zeros(1 << self.bits, np.int32)
+        self.slot_key[slot], self.slot_next[slot] = self.keys, self.next
+        self.slot_key[np.bincount(slot, minlength=1 << self.bits) > 1] = SHARED
         self.piece = np.full(len(trie) + 1, -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
         # a line end that is part of no longer piece parts segments as well
         self.segments = re.compile(r" *[^ ]+| +" if "\n" in inner else r"\n| *[^ \n]+| +")
 
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(_STEP)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which states have a child by their code, and those children."""
+        key = (state << 21) | code
+        slot = self._slots(key)
+        held = self.slot_key[slot]
+        go = held == key
+        child = self.slot_next[slot]
+        look = np.flatnonzero(held == SHARED)
+        if len(look):
+            at = np.minimum(np.searchsorted(self.keys, key[look]), len(self.keys) - 1)
+            go[look], child[look] = self.keys[at] == key[look], self.next[at]
+        return go, child[go].astype(np.int64)
+
+
 @lru_cache(maxsize=2)
 def vocabulary(model: bytes, sharpness: float) -> Vocabulary:
     return Vocabulary(model, sharpness)
@@ -102,10 +127,8 @@ def lattice(segments: list[str], v: Vocabulary):
     starts, spans, ids = [], [], []
     depth = 0
     while len(at):
-        key = (state << 21) | codes[at + depth]
-        found = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-        go = v.keys[found] == key
-        at, state = at[go], v.next[found[go]]
+        go, state = v.step(state, codes[at + depth])
+        at = at[go]
         depth += 1
         piece = v.piece[state]
         hit = piece >= 0
@@ -139,6 +162,8 @@ def forward(first: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.nda
     alpha = np.zeros(first[-1])
     lengths = np.diff(first) - 1
     depth = end - np.repeat(first[:-1], np.diff(first))[end]
+    if len(depth) and depth.max() < 1 << 16:
+        depth = depth.astype(np.uint16)  # sorted by counting
     order = np.argsort(depth, kind="stable")
     cut = np.searchsorted(depth[order], np.arange(1, (lengths.max() if len(lengths) else 0) + 2))
     for lo, hi in zip(cut[:-1], cut[1:]):
@@ -162,21 +187,24 @@ def uniforms(seed: np.ndarray, segment: np.ndarray, step: int) -> np.ndarray:
 
 def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Sampled piece ids of all texts, one after the other, and how many each has."""
-    known: dict[str, int] = {}
-    which, per_text = [], []
-    for t in texts:
+    flat: list[str] = []
+    per_text = np.zeros(len(texts), np.int64)
+    for k, t in enumerate(texts):
         found = v.segments.findall(t)
-        per_text.append(len(found))
-        which += [known.setdefault(s, len(known)) for s in found]
-    per_text = np.array(per_text, np.int64)
-    if not which:
+        per_text[k] = len(found)
+        flat += found
+    if not flat:
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    which = np.array(which, np.int64)
+    known = dict.fromkeys(flat)
+    known = dict(zip(known, range(len(known))))
+    which = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+    del flat
     first, start, end, score, out_at, out_n, out_ids = lattice(list(known), v)
     alpha = forward(first, start, end, score)
     chance = np.exp(alpha[start] + score - alpha[end])
-    low = np.searchsorted(end, np.arange(first[-1]), "left")  # a node's incoming edges
-    high = np.searchsorted(end, np.arange(first[-1]), "right") - 1
+    incoming = np.bincount(end, minlength=first[-1])
+    high = np.cumsum(incoming) - 1  # a node's incoming edges
+    low = high + 1 - incoming
     total = np.cumsum(chance)
     before = total[low.clip(max=len(total) - 1)] - chance[low.clip(max=len(total) - 1)]
     within = np.minimum((total - before[end]), 1.0)  # cumulated chance among the node's edges
@@ -184,8 +212,8 @@ def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary) -> tuple[np.ndarr
     text_of = np.repeat(np.arange(len(texts)), per_text)
     number = (np.arange(len(which)) - np.repeat(np.cumsum(per_text) - per_text, per_text)).astype(np.uint64)
     seed = seeds[text_of]
-    left = np.arange(len(which))
-    at = first[which + 1] - 1
+    left = np.argsort(which, kind="stable")  # neighbours in the lattice are looked up together
+    at = first[which[left] + 1] - 1
     steps = []
     while len(left):
         u = uniforms(seed[left], number[left], len(steps))
