@@ -80,6 +80,26 @@ def test_seating_of_large_dishes_grows_like_a_power():
     assert 1 <= t[0] < t[1] < 10_000
 
 
+def test_pitman_yor_buckets_are_read_one_at_a_time(spark, monkeypatch):
+    """A bucket is a row of many MB and a reader holds a row group: one row each."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from vardens import session
+
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 2_000)
+    start = len(session._written)
+    assert QUERIES["op1_pitman_yor"].run(spark, SF).count() > 0
+    groups = []
+    for path in session._written[start:]:
+        for f in glob.glob(f"{path.removeprefix('file:')}/*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            if "parts" in pq.read_schema(f).names:
+                groups += [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert len(groups) > 4 and set(groups) == {1}
+
+
 def test_pitman_yor_odd_rows(spark, odd_docs, no_docs):
     got = pitman_yor.score_texts(odd_docs, fold("doc_id", 10) != 0).collect()
     assert len(got) == odd_docs.count()
