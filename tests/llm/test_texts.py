@@ -187,7 +187,7 @@ def test_a_chunk_of_texts_takes_bounded_memory(vocabulary):
     sentencepiece_sampling.sample([text], np.zeros(1, np.uint64), vocabulary)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 320 << 20
+    assert peak < 160 << 20
 
 
 def test_sampling_depends_on_the_key_alone(spark):

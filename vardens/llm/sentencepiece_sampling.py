@@ -38,7 +38,7 @@ SEED = 20_240
 SHARPNESS = 1.0
 ZIPF_SHIFT = 2.7
 BLANK = "▁"
-CHUNK_BYTES, DECODE_ROWS = 1 << 20, 500
+CHUNK_BYTES, DECODE_ROWS = 1 << 19, 500
 SHARED = -2  # of a slot: several keys have this hash
 _STEP, _SEGMENT = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
 
