@@ -364,8 +364,9 @@ def q_kdist(spark, sf_dir):
 @register("density_levels_events", f"WITH {O.levels_ctes(KNN_K, KNN_BOX, LEVEL_QUANTILES)} SELECT level, eps FROM lv")
 def q_levels(spark, sf_dir):
     from ..operators.density import density_levels, k_distance
+    from ..session import checkpoint
 
-    return density_levels(k_distance(_events(spark, sf_dir), KNN_K), LEVEL_QUANTILES)
+    return density_levels(checkpoint(k_distance(_events(spark, sf_dir), KNN_K)), LEVEL_QUANTILES)
 
 
 @register(
