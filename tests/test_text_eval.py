@@ -161,3 +161,20 @@ def test_registered_cosine_join_keeps_the_surveys_threshold(spark):
             if a != b and sum(x * v.get(t, 0.0) for t, x in u.items()) >= 0.3:
                 slow.add((a, b))
     assert {(r["src"], r["dst"]) for r in REGISTRY["cosine_join_documents"].run(spark, sf).collect()} == slow
+
+
+def test_tfidf_joins_the_terms_once_whether_broadcast_or_not(spark, monkeypatch):
+    from vardens.operators import text
+
+    same = {}
+    for most in (text.MAX_BROADCAST_TERMS, 0):
+        monkeypatch.setattr(text, "MAX_BROADCAST_TERMS", most)
+        w = text_weights(docs(spark))
+        plan = w._jdf.queryExecution()
+        assert plan.optimizedPlan().toString().count("Join ") == 1
+        assert "SortMergeJoin" not in plan.sparkPlan().toString()
+        same[most] = {(r["id"], r["term"]): round(r["weight"], 9) for r in w.collect()}
+    first, second = same.values()
+    assert first == second and len(first) > 20
+    lost = docs(spark).withColumn("id", F.when(F.col("id") != 1, F.col("id")))
+    assert {r["id"] for r in text_weights(lost).select("id").collect()} == {2, 3, 4, 5, 8}
