@@ -188,3 +188,25 @@ def test_collocations_by_shuffled_words_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(collocations, "BUCKET", 1 << 8)
     monkeypatch.setattr(collocations, "RUN_BYTES", 20_000)
     assert one == sorted(map(tuple, collocations.collocations(docs, min_count=20).collect())) and one
+
+
+def test_runs_are_written_in_small_row_groups(spark, monkeypatch):
+    """A row group, which writers and readers hold, is closed by its bytes after any row."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from vardens.llm import collocations
+    from vardens.session import ensure_checkpoint_dir
+
+    monkeypatch.setattr(collocations, "ROW_GROUP_BYTES", 64 << 10)
+    big = F.concat(*[F.sha2(F.concat("id", F.lit(str(k))), 512) for k in range(800)])
+    rows = spark.range(12, numPartitions=1).select(F.col("id").alias("run"), big.cast("binary").alias("data"))
+    store = collocations._Bucketed(spark)
+    store.buckets = 1
+    assert store.write(rows).count() == 12
+    folder = f"{ensure_checkpoint_dir(spark).removeprefix('file:').rstrip('/')}/tables/{store.names[0]}"
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{folder}/*.parquet")]
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 2
+    store.forget()

@@ -45,6 +45,8 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Least occurrences of pairs in a bucket, word buckets, rows in one file of runs.
 BUCKET, WORD_BUCKETS, ROWS_A_FILE = 1 << 17, 4096, 4096
+#: Bytes of a row group of runs and filters, which a writer and a reader hold whole.
+ROW_GROUP_BYTES = 16 << 20
 #: Text of a run (of all languages of a batch).
 RUN_BYTES = 4 << 20
 #: Frequent words up to which they are broadcast instead of shuffled with the runs' words.
@@ -133,6 +135,8 @@ class _Bucketed:
         name = f"runs_{uuid.uuid4().hex}"
         path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables/{name}"
         writer = df.write.format("parquet").option("path", path).option("maxRecordsPerFile", ROWS_A_FILE)
+        # rows are large: a row group, which a writer and a reader hold, is measured row by row
+        writer = writer.option("parquet.block.size", str(ROW_GROUP_BYTES)).option("parquet.page.size.row.check.min", "1")
         (writer.partitionBy(*parts) if parts else writer).bucketBy(self.buckets, "run").saveAsTable(name)
         self.names.append(name)
         return self.spark.table(name)
