@@ -96,6 +96,42 @@ def test_links_of_a_unit_by_brute_force():
     assert parts(found) == parts(close) and len(found) <= 59
 
 
+def test_asking_sets_meet_answering_ones_alone():
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(6)]
+    sets = [np.unique(np.append(b[rng.random(len(b)) < 0.97], np.uint64(k))) for k in range(8) for b in base]
+    asks = np.arange(len(sets)) % 5 == 0
+    found = jaccard_join._links(list(range(len(sets))), sets, asks)
+    assert found and all(asks[x] and not asks[y] for x, y in found)
+    similar = lambda x, y: 4 * len(np.intersect1d(sets[x], sets[y])) >= 3 * len(np.union1d(sets[x], sets[y]))
+    assert all(similar(x, y) for x, y in found)
+    joined = {z for pair in found for z in pair}
+    for x in np.flatnonzero(asks):
+        assert (x in joined) == any(similar(x, y) for y in np.flatnonzero(~asks))
+    # a node on both sides is not linked with itself
+    assert jaccard_join._links([7, 7], [base[0], base[0]], np.array([True, False])) == []
+
+
+def test_blocks_of_a_cluster_travel_once_for_many(spark, monkeypatch):
+    """A cluster of texts that are not linked: every block meets every other one."""
+    monkeypatch.setattr(jaccard_join, "UNIT", 5)
+    passage = [f"p{i}" for i in range(24)]
+    rows = [(i, i, " ".join(passage + [f"t{i}x{k}" for k in range(12)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, node long, text string")
+    name = {i: jaccard_join.node_of(jaccard_join.shingle_sets(pa.array([t]))[0]) for i, _, t in rows}
+    members = spark.createDataFrame([(name[i], i, 1) for i in name], "node long, doc_id long, cluster long")
+    sent = []
+    verify = jaccard_join._verify
+
+    def counted(docs, id_col, text_col, placed):
+        sent.append(placed.select(F.explode("units")).count())
+        return verify(docs, id_col, text_col, placed)
+
+    monkeypatch.setattr(jaccard_join, "_verify", counted)
+    assert jaccard_join._verified(docs, "doc_id", "text", members).count() == 0
+    assert sent[-1] <= 60 * 4 + 60 * 4 < 60 * 12  # groups and blocks of 15 instead of 5 nodes
+
+
 def test_jaccard_link_through_a_text_without_id(spark):
     words = [f"w{i}" for i in range(90)]
     left, middle, right = (" ".join(words[a : a + 60]) for a in (0, 5, 10))  # left and right are not linked

@@ -120,6 +120,36 @@ def test_hubs_are_salted_without_changing_components(spark):
     assert got == {i: 99 if i == 99 else 50 if 50 <= i <= 52 else 0 for i in got}
 
 
+def test_few_edges_end_in_one_contraction(spark):
+    from vardens import session
+    from vardens.operators.components import component_edges
+
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 900, 700), rng.integers(0, 900, 700)
+    edges = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "src long, dst long").repartition(16)
+    start = len(session._written)
+    got = {(r.a, r.b) for r in component_edges(edges).collect()}
+    assert len(session._written) - start == 2  # local stars and the result: no rounds
+    root = list(range(900))
+    for _ in range(900):
+        before = list(root)
+        for x, y in zip(a, b):
+            root[x] = root[y] = min(root[x], root[y])
+        if root == before:
+            break
+    assert got == {(r, n) for n, r in enumerate(root) if r != n}
+
+
+def test_rounds_of_many_edges_salt_their_hubs(spark, monkeypatch):
+    from vardens.operators import components
+
+    monkeypatch.setattr(components, "LOCAL_EDGES", 1)  # on the driver: rounds go on to the end
+    edges = [(0, i) for i in range(1, 30)] + [(29, 40), (40, 41), (50, 51), (51, 52)]
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(6)
+    got = {(r.a, r.b) for r in components.component_edges(df, hub_rows=3).collect()}
+    assert got == {(50, i) for i in (51, 52)} | {(0, i) for i in [*range(1, 30), 40, 41]}
+
+
 def test_local_contraction_in_runs(monkeypatch):
     import pandas as pd
 
