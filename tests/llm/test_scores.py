@@ -100,6 +100,30 @@ def test_pitman_yor_buckets_are_read_one_at_a_time(spark, monkeypatch):
     assert len(groups) > 4 and set(groups) == {1}
 
 
+def test_pitman_yor_texts_travel_the_same_in_any_number_of_buckets(spark):
+    """What names a text's occurrences must not be repeated in every bucket."""
+    docs = table(spark, SF, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("train"))
+    none = pitman_yor.Contexts(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(pitman_yor.START + 1 + pitman_yor.ENDINGS, np.int64))
+
+    def size(buckets):
+        total = F.expr("aggregate(parts, 0L, (a, p) -> a + length(p.words) + length(p.lengths) + length(p.contexts) + length(p.rows) + length(p.counts))")
+        rows = pitman_yor._occurrences(docs, none, buckets)
+        assert {"keys", "train"}.isdisjoint(rows.schema["parts"].dataType.elementType.names)
+        return rows.agg(F.sum(total)).first()[0]
+
+    assert size(64) <= 1.02 * size(2)
+
+
+def test_pitman_yor_sums_reach_their_rows_in_small_pieces(spark, odd_docs, monkeypatch):
+    """Texts named by piece and row: pieces, buckets and repeats change no sum."""
+    docs = odd_docs.unionByName(odd_docs).repartition(3)
+    want = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in pitman_yor.score_texts(docs, F.lit(True)).collect())
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 1_000)
+    again = pitman_yor.score_texts(docs.repartition(7), F.lit(True)).collect()
+    assert len(again) == 2 * odd_docs.count()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in again) == want
+
+
 def test_pitman_yor_odd_rows(spark, odd_docs, no_docs):
     got = pitman_yor.score_texts(odd_docs, fold("doc_id", 10) != 0).collect()
     assert len(got) == odd_docs.count()
