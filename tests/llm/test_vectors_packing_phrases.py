@@ -190,6 +190,34 @@ def test_collocations_by_shuffled_words_are_the_same(spark, monkeypatch):
     assert one == sorted(map(tuple, collocations.collocations(docs, min_count=20).collect())) and one
 
 
+def test_told_ids_find_the_entries_of_every_bucket():
+    rng = np.random.default_rng(6)
+    bits = 3
+    made = np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64))
+    bucket = (made >> np.uint64(64 - bits)).astype(np.int64)
+    often, ids = rng.random(500) < 0.4, rng.integers(1, 2**32, 500, dtype=np.uint64)
+    parts = [collocations.told_bytes(int(b), often[bucket == b], ids[(bucket == b) & often]) for b in rng.permutation(8) if b != 2]
+    want = np.where(often & (bucket != 2), ids, np.uint64(0))
+    assert (collocations.told_ids(parts, made, bits) == want).all()
+    for top in (0, 255, 256, 65_535, 65_536, 2**32 - 1):
+        values = np.array([0, top], np.int64)
+        assert (collocations.narrow_values(collocations.narrow_bytes(values)) == values).all()
+    assert len(collocations.narrow_bytes(np.arange(300))) == 601 and len(collocations.narrow_values(collocations.narrow_bytes(values[:0]))) == 0
+
+
+def test_pairs_are_not_written_and_words_not_joined(spark, monkeypatch):
+    """Only streams that a later round reads are tables; few words are looked up, not joined."""
+    written = []
+    write = collocations._Bucketed.write
+    monkeypatch.setattr(collocations._Bucketed, "write", lambda self, df: written.append(df) or write(self, df))
+    docs = table(spark, SF, "documents")
+    assert collocations.collocations(docs, min_count=20, max_words=4).count() > 0
+    assert len(written) == 3  # runs, streams of 1 and 2 words
+    assert [sorted(df.columns) for df in written[1:]] == [["data", "lang", "run"]] * 2
+    plan = written[1]._jdf.queryExecution().toString()
+    assert "posexplode" not in plan.lower()
+
+
 def test_runs_are_written_in_small_row_groups(spark, monkeypatch):
     """A row group, which writers and readers hold, is closed by its bytes after any row."""
     import glob

@@ -8,15 +8,16 @@ pair of the ids (32 bits each) of those two: 64 bits, nothing lost.
    distinct words with their counts, and the text as numbers of those words.
 2. Words are counted by Spark; frequent ones get ids, which travel back to the runs that
    hold them.
-3. A round (``advance``) turns a run into the positions of frequent phrases of n words and
-   counts pairs of neighbouring ones.  Packed pairs go through an invertible permutation of
+3. A round (``advance``) turns a run into the positions of frequent phrases of n words, and
+   ``pair_filters`` counts pairs of neighbouring ones, which only travel and are not written
+   (nor are the last round's positions).  Packed pairs go through an invertible permutation of
    64 bits, so they spread evenly; sorted, the first bits are the *bucket* (which task
    merges them), the next the *quotient* (kept as the number of entries under each) and the
    rest the *remainder*, kept in full bytes; counters take a byte and spill when larger
    (``filter_bytes``).  The filter gives back every pair and count exactly.
 4. ``merge``: the sorted filters of a bucket from all runs are merged and summed.  Pairs
-   that reach ``min_count`` are phrases of the next round, and each run is told the ids of
-   those that it holds.  A task holds one bucket at a time; there are as many as
+   that reach ``min_count`` are phrases of the next round, and each run is told which entries
+   of its own filter they are (a bit each) and their ids (four bytes).  A task holds one bucket at a time; there are as many as
    ``spark.sql.shuffle.partitions`` (the next power of two) unless they would hold fewer than
    ``BUCKET`` occurrences, so that setting sizes them.  Runs are tables in buckets: the ids travel to them, the texts are never shuffled.
 
@@ -34,6 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,10 +48,10 @@ BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Least occurrences of pairs in a bucket, word buckets, rows in one file of runs.
 BUCKET, WORD_BUCKETS, ROWS_A_FILE = 1 << 17, 4096, 4096
 #: Bytes of a row group of runs and filters, which a writer and a reader hold whole.
-ROW_GROUP_BYTES = 16 << 20
+ROW_GROUP_BYTES = 12 << 20
 #: Text of a run (of all languages of a batch).
-RUN_BYTES = 4 << 20
-#: Frequent words up to which they are broadcast instead of shuffled with the runs' words.
+RUN_BYTES = 8 << 20
+#: Frequent words up to which every task keeps them, instead of joining the runs' words.
 MAX_BROADCAST_WORDS = 500_000
 
 _KIND = np.zeros(256, np.uint8)
@@ -88,7 +90,7 @@ def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarr
 
 def runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``run long, lang string, words array<string>, counts array<long>, stream binary``:
-    the stream has the number of each word from 1 (int32), and a 0 between pieces."""
+    the stream has the number of each word from 1, and a 0 between pieces (``narrow_bytes``)."""
     picked = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("g"))
 
     def cut(batches):
@@ -114,7 +116,7 @@ def runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Dat
                             langs.dictionary.take(pa.array([int(k)])).cast(pa.string()),
                             pa.array([distinct.take(pa.array(held)).cast(pa.string())], pa.list_(pa.string())),
                             pa.array([count[held].astype(np.int64)], pa.list_(pa.int64())),
-                            pa.array([stream.tobytes()], pa.binary()),
+                            pa.array([narrow_bytes(stream)], pa.binary()),
                         ],
                         ["run", "lang", "words", "counts", "stream"],
                     )
@@ -131,13 +133,14 @@ class _Bucketed:
         self.spark, self.names = spark, []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def write(self, df: DataFrame, *parts: str) -> DataFrame:
+    def write(self, df: DataFrame) -> DataFrame:
         name = f"runs_{uuid.uuid4().hex}"
         path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables/{name}"
         writer = df.write.format("parquet").option("path", path).option("maxRecordsPerFile", ROWS_A_FILE)
         # rows are large: a row group, which a writer and a reader hold, is measured row by row
         writer = writer.option("parquet.block.size", str(ROW_GROUP_BYTES)).option("parquet.page.size.row.check.min", "1")
-        (writer.partitionBy(*parts) if parts else writer).bucketBy(self.buckets, "run").saveAsTable(name)
+        writer = writer.option("compression", "zstd")  # numbers and ids of words are uneven
+        writer.bucketBy(self.buckets, "run").saveAsTable(name)
         self.names.append(name)
         return self.spark.table(name)
 
@@ -205,6 +208,16 @@ def filter_entries(data: bytes, bits: int, bucket: int) -> tuple[np.ndarray, np.
 # ------------------------------------------------------------------ rounds
 
 
+def narrow_bytes(values: np.ndarray) -> bytes:
+    """Numbers below 2**32 in the fewest bytes (1, 2 or 4) that hold all, the width first."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + values.astype(kind.newbyteorder("<")).tobytes()
+
+
+def narrow_values(data) -> np.ndarray:
+    return np.frombuffer(data, f"<u{memoryview(data)[0]}", offset=1)
+
+
 def _pairs(at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and packed ids of two neighbouring phrases."""
     next_to = np.flatnonzero(np.diff(at) == 1)
@@ -215,67 +228,105 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array([values.astype(np.int64)], pa.list_(pa.int64()))
 
 
-_ADVANCED = "run long, lang string, bucket long, data binary, kind string"
+def told_bytes(bucket: int, often: np.ndarray, ids: np.ndarray) -> bytes:
+    """Which entries of a run's filter of ``bucket`` are frequent, and the ids of those."""
+    head = np.array([bucket, len(often)], "<u4")
+    return head.tobytes() + np.packbits(often).tobytes() + ids.astype("<u4").tobytes()
+
+
+def told_ids(parts: list[bytes], made: np.ndarray, bits: int) -> np.ndarray:
+    """The ids of a run's sorted permuted pairs ``made`` (0: not frequent), from ``told_bytes``."""
+    out = np.zeros(len(made), np.uint64)
+    for data in parts:
+        bucket, n = np.frombuffer(data, "<u4", 2).tolist()
+        first = int(np.searchsorted(made, np.uint64(bucket << (64 - bits))))
+        size = -(-n // 8)
+        often = np.unpackbits(np.frombuffer(data, np.uint8, size, 8), count=n).astype(bool)
+        out[first : first + n][often] = np.frombuffer(data[8 + size :], "<u4")
+    return out
 
 
 def advance(streams: DataFrame, ids: DataFrame, bits: int, first: bool) -> DataFrame:
-    """One round: ``streams`` (``run, lang, data``) with the ``ids`` of frequent phrases
-    (``run, keys, ids``) become the next streams and filters of pairs (``kind`` tells).
+    """One round: ``streams`` (``run, lang, data``) with the ids of frequent phrases become
+    the next streams: ids (uint32 each), then steps between places (``narrow_bytes``).
 
-    A stream after the first round holds steps between places, then ids (uint32 each).
+    ``ids`` has ``run, told``: in the ``first`` round the numbers of a run's frequent words
+    and then their ids (uint32 each), later ``told_bytes`` by run and bucket.
     """
-    told = ids.groupBy("run").agg(F.flatten(F.collect_list("keys")).alias("keys"), F.flatten(F.collect_list("ids")).alias("ids"))
-    both = streams.join(told.hint("shuffle_hash"), "run").select("run", "lang", "keys", "ids", "data")
+    told = ids.groupBy("run").agg(F.collect_list("told").alias("told"))
+    both = streams.join(told.hint("shuffle_hash"), "run")
+    return _advance(both, bits, first)
+
+
+def _advance(both: DataFrame, bits: int, first: bool) -> DataFrame:
+    both = both.select("run", "lang", "told", "data")
 
     def rows(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                keys, found = (np.asarray(batch.column(c)[k].values, np.int64).view(np.uint64) for c in (2, 3))
-                lang, stream = batch.column(1).slice(k, 1), batch.column(4)[k].as_buffer()
-                yield from _advanced(batch.column(0)[k].as_py(), lang, stream, keys, found, bits, first)
+                data = _advanced(batch.column(3)[k].as_buffer(), batch.column(2)[k].as_py(), bits, first)
+                if data is not None:
+                    kept = [batch.column(c).slice(k, 1) for c in range(2)]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array([data], pa.binary())], ["run", "lang", "data"])
 
-    return bounded_map(both, rows, _ADVANCED)
+    return bounded_map(both, rows, "run long, lang string, data binary")
 
 
-def _advanced(run, lang, stream, keys, found, bits, first):
+def _advanced(stream, told: list[bytes], bits: int, first: bool) -> bytes | None:
     if first:
-        codes = np.frombuffer(stream, "<i4")
+        codes = narrow_values(stream)
         table = np.zeros(int(codes.max(initial=0)) + 1, np.uint64)
-        table[keys.astype(np.int64)] = found
+        for part in told:
+            places, found = np.frombuffer(part, "<u4").reshape(2, -1)
+            table[places] = found
         at = np.arange(len(codes))
         ids = table[codes]
     else:
-        steps, ids = np.frombuffer(stream, "<u4").reshape(2, -1)
-        at, packed = _pairs(np.cumsum(steps, dtype=np.int64), ids.astype(np.uint64))
-        order = np.argsort(keys)
-        keys, found = keys[order], found[order]
-        k = np.minimum(np.searchsorted(keys, packed), len(keys) - 1)
-        ids = np.where(keys[k] == packed, found[k], np.uint64(0))
+        at, packed = _stream_pairs(stream)
+        made, entry = np.unique(permuted(packed), return_inverse=True)
+        ids = told_ids(told, made, bits)[entry]
     held = np.flatnonzero(ids)
     at, ids = at[held], ids[held]
-    _, packed = _pairs(at, ids)
-    if not len(packed):
-        return
-    data = np.concatenate([np.diff(at, prepend=0), ids.astype(np.int64)]).astype("<u4").tobytes()
-    made, counts = np.unique(permuted(packed), return_counts=True)
-    buckets = made >> np.uint64(64 - bits)
-    starts = np.flatnonzero(np.diff(buckets, prepend=buckets[0] + np.uint64(1)))
-    ends = np.append(starts[1:], len(made))
-    filters = [filter_bytes(made[s:e], counts[s:e], bits) for s, e in zip(starts, ends)]
-    n = len(filters) + 1
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, run)), lang.take(pa.array(np.zeros(n, np.int64))),
-            pa.array([None, *buckets[starts].tolist()], pa.int64()), pa.array([data, *filters], pa.binary()),
-            pa.array(["stream", *["filter"] * (n - 1)]),
-        ],
-        ["run", "lang", "bucket", "data", "kind"],
-    )
+    if not (np.diff(at) == 1).any():
+        return None
+    size = np.array([len(ids)], "<u4")
+    return size.tobytes() + ids.astype("<u4").tobytes() + narrow_bytes(np.diff(at, prepend=0))
+
+
+def _stream_pairs(stream) -> tuple[np.ndarray, np.ndarray]:
+    size = int(np.frombuffer(stream, "<u4", 1)[0])
+    ids = np.frombuffer(stream, "<u4", size, 4)
+    steps = narrow_values(memoryview(stream)[4 + 4 * size :])
+    return _pairs(np.cumsum(steps, dtype=np.int64), ids.astype(np.uint64))
+
+
+def pair_filters(streams: DataFrame, bits: int) -> DataFrame:
+    """``run, lang, bucket, data``: the filters of the neighbouring pairs of advanced streams."""
+
+    def rows(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                made, counts = np.unique(permuted(_stream_pairs(batch.column(2)[k].as_buffer())[1]), return_counts=True)
+                buckets = made >> np.uint64(64 - bits)
+                starts = np.flatnonzero(np.diff(buckets, prepend=buckets[0] + np.uint64(1)))
+                ends = np.append(starts[1:], len(made))
+                filters = [filter_bytes(made[s:e], counts[s:e], bits) for s, e in zip(starts, ends)]
+                same = pa.array(np.zeros(len(filters), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).slice(k, 1).take(same) for c in range(2)),
+                        pa.array(buckets[starts].astype(np.int64)), pa.array(filters, pa.binary()),
+                    ],
+                    ["run", "lang", "bucket", "data"],
+                )
+
+    return bounded_map(streams, rows, "run long, lang string, bucket long, data binary")
 
 
 def merge(filters: DataFrame, bits: int, min_count: int) -> DataFrame:
-    """``run long, lang string, keys array<long>, ids array<long>, counts array<long>``: for
-    each language and bucket the frequent pairs (run null), and for each run its own."""
+    """``run long, lang string, keys array<long>, ids array<long>, counts array<long>, told
+    binary``: for each language and bucket the frequent pairs (run and told null), and for
+    each run what it is told of them (``told_bytes``)."""
     dealt = filters.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
 
     def rows(batches):
@@ -289,7 +340,7 @@ def merge(filters: DataFrame, bits: int, min_count: int) -> DataFrame:
                 parts.append((batch.column(0)[k].as_py(), *filter_entries(batch.column(3)[k].as_py(), bits, key[1])))
         yield from _merged(of, parts, bits, min_count)
 
-    return bounded_map(dealt, rows, "run long, lang string, keys array<long>, ids array<long>, counts array<long>")
+    return bounded_map(dealt, rows, "run long, lang string, keys array<long>, ids array<long>, counts array<long>, told binary")
 
 
 def _merged(of, parts, bits, min_count):
@@ -309,15 +360,18 @@ def _merged(of, parts, bits, min_count):
     ids = 1 + bucket + (np.arange(len(keys), dtype=np.int64) << bits)
     if int(ids[-1]) >= 2**32:
         raise OverflowError("more than 2**32 frequent phrases of one length")
+    names = ["run", "lang", "keys", "ids", "counts", "told"]
+    lang_array, no_list = pa.array([lang], pa.string()), pa.array([None], pa.list_(pa.int64()))
     packed = unpermuted(keys).view(np.int64)
-    names = ["run", "lang", "keys", "ids", "counts"]
-    lang_array, none = pa.array([lang], pa.string()), pa.array([None], pa.list_(pa.int64()))
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), lang_array, _longs(packed), _longs(ids), _longs(counts)], names)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([None], pa.int64()), lang_array, _longs(packed), _longs(ids), _longs(counts), pa.array([None], pa.binary())], names
+    )
     for run, mine, _ in parts:
         k = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-        k = k[keys[k] == mine]
-        if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), lang_array, _longs(packed[k]), _longs(ids[k]), none], names)
+        held = keys[k] == mine
+        if held.any():
+            told = pa.array([told_bytes(bucket, held, ids[k[held]])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), lang_array, no_list, no_list, no_list, told], names)
 
 
 # ------------------------------------------------------------------ phrases
@@ -346,20 +400,28 @@ def frequent_phrases(
         counted.withColumn("b", bucket).select("lang", (1 + F.col("b") + WORD_BUCKETS * (rank - 1)).cast("long").alias("id"), "word", "a")
     )
     known = words.select("lang", "word", "id")
-    found = held.join(F.broadcast(known) if words.count() <= MAX_BROADCAST_WORDS else known, ["lang", "word"])
-    ids = found.groupBy("run").agg(F.collect_list(F.struct("at", "id")).alias("m")).selectExpr("run", "m.at as keys", "m.id as ids")
+    streams = cut.select("run", "lang", F.col("stream").alias("data"))
+    few, most = words.agg(F.count(F.lit(1)) <= MAX_BROADCAST_WORDS, F.max("id")).first()
+    if (most or 0) >= 2**32:
+        raise OverflowError("more than 2**32 frequent words")
+    if few:  # every task looks up its runs' words; none of them travels
+        looked_up = _looked_up(cut, known)
+    else:  # at most one row of ``known`` meets a run's word
+        found = held.join(known, ["lang", "word"])
+        ids = bounded_map(found.select("run", "at", "id").sortWithinPartitions("run"), _told_words, "run long, told binary")
 
     none = F.array().cast("array<long>")
     start = words.select(
         "lang", "id", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), F.col("word").alias("phrase"),
         F.col("word").alias("last"), "a", none.alias("pre"), none.alias("suf"),
     )
-    tables, streams = [checkpoint(start)], cut.select("run", "lang", F.col("stream").alias("data"))
+    tables = [checkpoint(start)]
     for size in range(1, max_words):
-        done = store.write(advance(streams, ids, bits, first=size == 1), "kind")
-        streams = done.filter("kind = 'stream'").select("run", "lang", "data")
-        merged = checkpoint(merge(done.filter("kind = 'filter'").select("run", "lang", "bucket", "data"), bits, min_count))
-        ids = merged.filter("run is not null").select("run", "keys", "ids")
+        streams = _advance(looked_up, bits, first=True) if size == 1 and few else advance(streams, ids, bits, first=size == 1)
+        if size + 1 < max_words:  # the last round's are read once, for its filters
+            streams = store.write(streams)
+        merged = checkpoint(merge(pair_filters(streams, bits), bits, min_count))
+        ids = merged.filter("run is not null").select("run", "told")
         pairs = merged.filter("run is null").select("lang", F.explode(F.arrays_zip("keys", "ids", "counts")).alias("p")).select(
             "lang", F.col("p.ids").alias("id"), F.shiftrightunsigned("p.keys", 32).alias("left"),
             F.col("p.keys").bitwiseAND(0xFFFFFFFF).alias("right"), F.col("p.counts").alias("a"),
@@ -371,6 +433,47 @@ def frequent_phrases(
     ]
 
 
+def _looked_up(cut: DataFrame, known: DataFrame) -> DataFrame:
+    """``run, lang, told, data`` of the first round: ``known`` (at most ``MAX_BROADCAST_WORDS``
+    rows) is kept by every task."""
+    by_lang: dict[str, tuple[pa.Array, np.ndarray]] = {}
+    table = known.toArrow().combine_chunks()
+    for lang in table.column("lang").unique().to_pylist():
+        mine = table.filter(pc.equal(table.column("lang"), lang)).combine_chunks()
+        by_lang[lang] = mine.column("word").cast(pa.string()).combine_chunks(), np.asarray(mine.column("id"))
+    kept = cut.sparkSession.sparkContext.broadcast({k: (w.to_pylist(), i) for k, (w, i) in by_lang.items()})
+
+    def rows(batches):
+        sets = {lang: (pa.array(w, pa.string()), i) for lang, (w, i) in kept.value.items()}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lang = batch.column(1)[k].as_py()
+                if lang not in sets:
+                    continue
+                words, ids = sets[lang]
+                place = pc.index_in(batch.column(2)[k].values.cast(pa.string()), value_set=words)
+                held = np.flatnonzero(np.asarray(place.is_valid()))
+                if len(held):
+                    found = ids[np.asarray(place.drop_null())]
+                    told = np.concatenate([held + 1, found]).astype("<u4").tobytes()
+                    ends = [batch.column(c).slice(k, 1) for c in (0, 1, 3)]
+                    yield pa.RecordBatch.from_arrays([*ends[:2], pa.array([[told]], pa.list_(pa.binary())), ends[2]], ["run", "lang", "told", "data"])
+
+    return bounded_map(cut.select("run", "lang", "words", "stream"), rows, "run long, lang string, told array<binary>, data binary")
+
+
+def _told_words(batches):
+    """Of rows ``run, at, id`` sorted by run: per batch and run the places, then the ids."""
+    for b in batches:
+        run, at, found = (np.asarray(b.column(c)) for c in range(3))
+        if not len(run):
+            continue
+        starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        ends = np.append(starts[1:], len(run))
+        told = [np.concatenate([at[s:e], found[s:e]]).astype("<u4").tobytes() for s, e in zip(starts, ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(run[starts]), pa.array(told, pa.binary())], ["run", "told"])
+
+
 def _grown(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Phrases of pairs, from the phrases of one word less."""
     left = parts.select("lang", F.col("id").alias("left"), F.col("phrase").alias("p"), F.concat("pre", F.array("a")).alias("pre"))
