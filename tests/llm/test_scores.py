@@ -124,6 +124,31 @@ def test_pitman_yor_sums_reach_their_rows_in_small_pieces(spark, odd_docs, monke
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in again) == want
 
 
+def test_pitman_yor_learns_what_follows_every_word(spark):
+    """A word far below 1/512 of all tokens is a context of its own, beside others of its ending."""
+    pairs = [(f"key{i}zzz", f"value{i}") for i in range(600)]
+    texts = [f"{a} {b}" for a, b in pairs for _ in range(3)]
+    asked = [f"{pairs[7][0]} {pairs[7][1]}", f"{pairs[7][0]} {pairs[8][1]}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *asked])], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score_texts(docs, F.col("doc_id") < len(texts)).collect()}
+    right, wrong = got[len(texts)], got[len(texts) + 1]
+    assert right > wrong + 1.5  # of equal frequency: only the word before tells them apart
+
+
+def test_pitman_yor_words_dealt_by_ending_are_counted_whole(spark, monkeypatch):
+    """A frequent word lies in many buckets, one for each ending before it."""
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 500)
+    texts = [f"w{i}{chr(97 + i % 26)} often w{i}{chr(97 + i % 7)} rare{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    learned = Counter(t for t in texts[:300] for t in tokens(t))
+    n, v = sum(learned.values()), len(learned)
+    for r in pitman_yor.score_texts(docs, F.col("doc_id") < 300).collect():
+        ts = tokens(texts[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ts), sum(learned[t] > 0 for t in ts), n)
+        assert r.base_score == pytest.approx(sum(math.log10((learned[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts), rel=1e-9)
+        assert math.isfinite(r.score) and r.score < 0
+
+
 def test_pitman_yor_odd_rows(spark, odd_docs, no_docs):
     got = pitman_yor.score_texts(odd_docs, fold("doc_id", 10) != 0).collect()
     assert len(got) == odd_docs.count()
