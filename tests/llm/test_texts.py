@@ -449,3 +449,16 @@ def test_html_odd_rows(spark):
         assert [r.text for r in got if r.page_id in (1, None)] == ["", ""]
     none = spark.createDataFrame([], pages.schema)
     assert html_blocks.fit(none) is None and html_blocks.extract(none, None, ["page_id"]).count() == 0
+
+
+def test_units_beyond_the_driver_are_joined_and_few_texts_travel(spark, monkeypatch):
+    """The names of the units count as well as the nodes; what the filter leaves unread is not asked for."""
+    texts = [f"{'same words in every one of these texts again and again ' * 3}{'x' * (i % 3)}{i // 40}" for i in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"lone text number {i} of its own kind {i * 7}") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (None, texts[0])], "doc_id long, text string")
+    want = sorted(map(str, jaccard_join.near_duplicates(docs).collect()))
+    monkeypatch.setattr(jaccard_join, "MAX_BROADCAST_BYTES", 0)
+    assert sorted(map(str, jaccard_join.near_duplicates(docs).collect())) == want
+    asked = spark.createDataFrame([(i,) for i in (0, 7, 119, 1399)], "__pick long")
+    got = jaccard_join._picked(docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")), asked)
+    assert {0, 7, 119, 1399} <= {r[0] for r in got.collect()} and got.count() < 10
